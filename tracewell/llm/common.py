@@ -16,7 +16,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators.
@@ -36,7 +36,35 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def public_id(column: str = "id"):
+def has_repeats(docs: DataFrame) -> bool:
+    """Whether some doc_id, null included, stands in several rows. Only ids are read."""
+    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def copy_number(docs: DataFrame) -> Column:
+    """A column that tells rows of one doc_id apart: 0 where every id is its own,
+    else a hash of the text, which needs no shuffle of texts."""
+    if has_repeats(docs):
+        return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(2**63 - 1))
+    return F.lit(0).cast("long")
+
+
+def keys(docs: DataFrame) -> list[Column]:
+    """id and copy, which name a row together (equal rows alike)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), copy_number(docs).alias("copy")]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, id, copy): all columns in one, out of the way of any name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys(docs))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(id, copy, text) of documents."""
+    return docs.select(*keys(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def public_id(column: str = "id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
 
 
