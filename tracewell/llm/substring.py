@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blobs, common
 from .hashing import slices, windows, word_hashes
@@ -40,6 +41,8 @@ WIDTH = 20
 #: Windows that one task holds at once, and that one bucket is laid out for.
 CHUNK_BYTES = 10_000_000
 BUCKET_WINDOWS = 1_500_000
+#: Text of the documents that meet their intervals at once.
+GROUP_BYTES = 8_000_000
 _BYTES_A_WORD = 6
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,23 +52,27 @@ def _order_key(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _by_document(key, copy, start) -> list[tuple]:
-    """Arrays grouped by document, starts ascending -> (id, copy, packed starts) for each document."""
-    if not len(key):
-        return []
-    edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (copy[1:] != copy[:-1])])
-    to = np.r_[edge[1:], len(key)]
-    return list(zip(_ids(key[edge]).tolist(), copy[edge].astype(np.int64).tolist(), [blobs.pack_rising(start[i:j]) for i, j in zip(edge, to)]))
+def _by_group(groups: int, bucket, key, copy, start) -> list[tuple]:
+    """Windows that go -> one packed row for each group of documents that has any."""
+    group = np.mod(_ids(key) ^ copy.astype(np.int64), groups)
+    order = np.lexsort((start, copy, key, group))
+    group, key, copy, start = group[order], key[order], copy[order], start[order]
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+    rows = []
+    for a, b in zip(cut, np.r_[cut[1:], len(group)] if len(group) else []):
+        edge = np.flatnonzero(np.r_[True, (key[a + 1 : b] != key[a : b - 1]) | (copy[a + 1 : b] != copy[a : b - 1])]) + a
+        rows.append((bucket(len(rows)), int(group[a]), blobs.pack(key[edge]), blobs.pack(copy[edge]), blobs.pack(np.diff(np.r_[edge, b])), blobs.pack(start[a:b])))
+    return rows
 
 
 def _ids(key: np.ndarray) -> np.ndarray:
     return (key ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _hash_windows(width: int, buckets: int):
+def _hash_windows(width: int, buckets: int, groups: int):
     """(id, copy, text) batches -> rows for each bucket: its share of the
-    earliest windows of this chunk (b, c, d set), and documents' windows that go
-    whatever other chunks hold (only a set; any bucket passes them on)."""
+    earliest windows of this chunk (low set), and documents' windows that go
+    whatever other chunks hold (group set; any bucket passes them on)."""
 
     def run(batches):
         for batch in batches:
@@ -91,15 +98,15 @@ def _hash_windows(width: int, buckets: int):
                 # of equal rows, which share id and copy, all hold the first window
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
                 gone = np.flatnonzero(same & ((key[o] != key[o[lead]]) | (copy[o] != copy[o[lead]]) | (s != s[lead])))
-                gone = gone[np.lexsort((s[gone], o[gone]))]
-                rows = [(n % buckets, d, c, x, None, None, None) for n, (d, c, x) in enumerate(_by_document(key[o[gone]], copy[o[gone]], s[gone]))]
+                rows = _by_group(groups, lambda n: n % buckets, key[o[gone]], copy[o[gone]], s[gone])
+                rows = [(x[0], x[1], None, *x[2:]) for x in rows]
                 h, o, s = h[~same], o[~same], s[~same]
                 low = key.min()
                 cut = np.searchsorted(_buckets(h, buckets), np.arange(buckets + 1))
                 for k in range(buckets):
                     x = slice(cut[k], cut[k + 1])
                     if cut[k] < cut[k + 1]:
-                        rows.append((k, int(_ids(low[None])[0]), 0, blobs.pack_rising(h[x]), blobs.pack(key[o[x]] - low), blobs.pack(copy[o[x]]), blobs.pack(s[x])))
+                        rows.append((k, None, int(_ids(low[None])[0]), blobs.pack_rising(h[x]), blobs.pack(key[o[x]] - low), blobs.pack(copy[o[x]]), blobs.pack(s[x])))
                 yield _batch(rows, _SENT)
 
     return run
@@ -110,8 +117,8 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("copy", pa.int64()), *[(x, pa.binary()) for x in "abcd"]])
-_FOUND = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("starts", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("group", pa.int64()), ("low", pa.int64()), *[(x, pa.binary()) for x in "abcd"]])
+_FOUND = pa.schema([("group", pa.int64()), *[(x, pa.binary()) for x in "abcd"]])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -119,103 +126,94 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema)], schema=schema)
 
 
-def _later_ones(table: pa.Table) -> pa.Table:
+def _later_ones(groups: int):
     """A bucket: of the windows of each hash, all but the earliest."""
-    sent = pa.compute.is_valid(table.column("b"))
-    passed = table.filter(pa.compute.invert(sent)).select(["id", "copy", "a"]).rename_columns(_FOUND.names)
-    hs, ks, cs, ss = [], [], [], []
-    for low, a, b, c, d in zip(*(table.filter(sent).column(x).to_pylist() for x in ("id", "a", "b", "c", "d"))):
-        hs.append(blobs.unpack_rising(a))
-        ks.append(blobs.unpack(b) + _order_key(np.array([low])))
-        cs.append(blobs.unpack(c))
-        ss.append(blobs.unpack(d).astype(np.uint32))
-    if not hs:
-        return passed.cast(_FOUND)
-    h = np.concatenate(hs)
-    del hs
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    same = np.zeros(len(h) + 1, dtype=bool)
-    same[1:-1] = h[1:] == h[:-1]
-    many = same[1:] | same[:-1]
-    h, order = h[many], order[many]
-    key, copy, start = (np.concatenate(x)[order] for x in (ks, cs, ss))
-    order = np.lexsort((start, copy, key, h))
-    h, key, copy, start = h[order], key[order], copy[order], start[order]
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = h[1:] == h[:-1]
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-    gone = np.flatnonzero(same & ((key != key[lead]) | (copy != copy[lead]) | (start != start[lead])))
-    key, copy, start = key[gone], copy[gone], start[gone]
-    order = np.lexsort((start, copy, key))
-    rows = _by_document(key[order], copy[order], start[order])
-    return pa.concat_tables([passed.cast(_FOUND), pa.Table.from_batches([_batch(rows, _FOUND)])])
-
-
-def _copy_number(docs: DataFrame):
-    """A column that tells rows of one doc_id apart: 0 where every id is its own,
-    else a hash of the text, which needs no shuffle of texts."""
-    if common.keyed(docs).groupBy("id").count().where("count > 1").limit(1).count():
-        return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(2**63 - 1))
-    return F.lit(0).cast("long")
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """(id, copy, text) of documents."""
-    return common.keyed(docs).select("id", _copy_number(docs).alias("copy"), "text")
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs: numbered(). (id, copy, starts): lists of packed starts of the windows that go."""
-    buckets = max(4, -(-common.total_bytes(docs) // (_BYTES_A_WORD * BUCKET_WINDOWS)))
-    sent = docs.mapInArrow(_hash_windows(width, buckets), "bucket int, id long, copy long, a binary, b binary, c binary, d binary")
-    found = sent.groupBy("bucket").applyInArrow(_later_ones, "id long, copy long, starts binary")
-    return found.groupBy("id", "copy").agg(F.collect_list("starts").alias("starts"))
-
-
-def intervals(packed: list[bytes], width: int) -> list[tuple[int, int]]:
-    """Windows that go -> maximal ranges of words, ends exclusive."""
-    if not packed:
-        return []
-    starts = np.unique(np.concatenate([blobs.unpack_rising(x) for x in packed])).astype(np.int64)
-    cut = np.flatnonzero(np.diff(starts) > width)
-    return [(int(a), int(b) + width) for a, b in zip(starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]])]
-
 
-def _cut_words(width: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for d, text, packed in zip(*(x.to_pylist() for x in batch.columns)):
-                words = text.encode().split()  # at the same six bytes
-                n, removed = len(words), 0
-                for a, b in reversed(intervals(packed, width)):
-                    removed += b - a
-                    del words[a:b]
-                rows.append((d, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield _batch(rows, _DIGEST)
+    def run(table: pa.Table) -> pa.Table:
+        sent = pa.compute.is_valid(table.column("low"))
+        passed = table.filter(pa.compute.invert(sent)).select(_FOUND.names).cast(_FOUND)
+        hs, ks, cs, ss = [], [], [], []
+        for low, a, b, c, d in zip(*(table.filter(sent).column(x).to_pylist() for x in ("low", *"abcd"))):
+            hs.append(blobs.unpack_rising(a))
+            ks.append(blobs.unpack(b) + _order_key(np.array([low])))
+            cs.append(blobs.unpack(c))
+            ss.append(blobs.unpack(d).astype(np.uint32))
+        if not hs:
+            return passed
+        h = np.concatenate(hs)
+        del hs
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        same = np.zeros(len(h) + 1, dtype=bool)
+        same[1:-1] = h[1:] == h[:-1]
+        many = same[1:] | same[:-1]
+        h, order = h[many], order[many]
+        key, copy, start = (np.concatenate(x)[order] for x in (ks, cs, ss))
+        order = np.lexsort((start, copy, key, h))
+        h, key, copy, start = h[order], key[order], copy[order], start[order]
+        same = np.zeros(len(h), dtype=bool)
+        same[1:] = h[1:] == h[:-1]
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+        gone = np.flatnonzero(same & ((key != key[lead]) | (copy != copy[lead]) | (start != start[lead])))
+        rows = [x[1:] for x in _by_group(groups, lambda n: 0, key[gone], copy[gone], start[gone])]
+        return pa.concat_tables([passed, pa.Table.from_batches([_batch(rows, _FOUND)])])
 
     return run
 
 
+def _meet_again(docs: DataFrame, width: int, finish, schema: str | T.StructType) -> DataFrame:
+    """docs: id, copy, text and what else finish needs. Every group of documents
+    meets the starts of its windows that go: finish(table, intervals by row)."""
+    size = common.total_bytes(docs)
+    buckets = int(max(4, -(-size // (_BYTES_A_WORD * BUCKET_WINDOWS))))
+    groups = int(size // GROUP_BYTES) | 1
+    sent = docs.select("id", "copy", "text").mapInArrow(_hash_windows(width, buckets, groups), "bucket int, group long, low long, a binary, b binary, c binary, d binary")
+    found = sent.groupBy("bucket").applyInArrow(_later_ones(groups), "group long, a binary, b binary, c binary, d binary")
+
+    def cut(table: pa.Table, gone: pa.Table) -> pa.Table:
+        starts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for a, b, c, d in zip(*(gone.column(x).to_pylist() for x in "abcd")):
+            sizes = blobs.unpack(c).astype(np.int64)
+            for i, k, s in zip(_ids(blobs.unpack(a)).tolist(), blobs.unpack(b).tolist(), np.split(blobs.unpack(d).astype(np.int64), np.cumsum(sizes)[:-1])):
+                starts.setdefault((i, k), []).append(s)
+        rows = zip(table.column("id").to_pylist(), table.column("copy").to_pylist())
+        return finish(table, [intervals(starts.get(x, []), width) for x in rows])
+
+    placed = docs.withColumn("group", F.pmod(F.col("id").bitwiseXOR(F.col("copy")), F.lit(groups)))
+    return placed.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(cut, schema)
+
+
+def intervals(starts: list[np.ndarray], width: int) -> list[tuple[int, int]]:
+    """Windows that go -> maximal ranges of words, ends exclusive."""
+    if not starts:
+        return []
+    at = np.unique(np.concatenate(starts))
+    cut = np.flatnonzero(np.diff(at) > width)
+    return [(int(a), int(b) + width) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])]
+
+
 _DIGEST = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def with_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """numbered() rows, each with the packed starts of its windows that go (empty list: none)."""
-    return docs.join(repeated_windows(docs, width), ["id", "copy"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<binary>")))
+def _summary(table: pa.Table, gone: list[list[tuple[int, int]]]) -> pa.Table:
+    rows = []
+    for d, text, cuts in zip(table.column("id").to_pylist(), table.column("text"), gone):
+        words = text.as_py().encode().split()  # at the same six bytes
+        n = len(words)
+        for a, b in reversed(cuts):
+            del words[a:b]
+        rows.append((d, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+    return pa.Table.from_batches([_batch(rows, _DIGEST)])
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    marked = with_windows(numbered(docs), width).select("id", "text", "starts")
-    out = marked.mapInArrow(_cut_words(width), "id long, n_words long, n_removed long, kept_sha256 string")
+    out = _meet_again(common.numbered(docs), width, _summary, "id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(common.public_id(), "n_words", "n_removed", "kept_sha256")
 
 
-def cut_text(text: str, packed: list[bytes], width: int) -> str:
+def cut_text(text: str, gone: list[tuple[int, int]]) -> str:
     """The text without the words that go and without the white space behind them."""
-    gone = intervals(packed, width)
     if not gone:
         return text
     at = [m.start() for m in WORD.finditer(text)] + [len(text)]
@@ -226,18 +224,18 @@ def cut_text(text: str, packed: list[bytes], width: int) -> str:
     return "".join(keep) + text[begin:]
 
 
+def _rewritten(table: pa.Table, gone: list[list[tuple[int, int]]]) -> pa.Table:
+    row = table.column("row").combine_chunks()
+    old = row.field("text").to_pylist()
+    texts = [t if t is None else cut_text(t, x) for t, x in zip(old, gone)]
+    fresh = {"text": texts, "n_chars": [n if not x else len(t) for n, t, x in zip(row.field("n_chars").to_pylist(), texts, gone)]} if "n_chars" in row.type.names else {"text": texts}
+    parts = [pa.array(fresh[f.name], f.type) if f.name in fresh else row.field(f.name) for f in row.type]
+    return pa.table({"row": pa.StructArray.from_arrays(parts, fields=list(row.type))})
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, all columns, with text cut and n_chars, where there is one, counted anew."""
-    names = docs.columns
-    found = repeated_windows(numbered(docs), width)
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("id"), _copy_number(docs).alias("copy")]
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *keys).join(found, ["id", "copy"], "left")
-
-    @F.pandas_udf("string")
-    def cut(texts, starts):
-        return texts.combine(starts, lambda t, s: t if t is None or s is None else cut_text(t, list(s), width))
-
-    text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(cut(F.col("row.text"), F.col("starts")))
-    out = joined.select("row", text.alias("text"))
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return out.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in names])
+    whole = common.whole_rows(docs)
+    rows = whole.select("row", "id", "copy", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    out = _meet_again(rows, width, _rewritten, T.StructType([whole.schema["row"]]))
+    return out.select("row.*")
