@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, jaccard, packing, sketch, substring
+from . import bpe, counts, jaccard, packing, sketch, substring, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=False).drop("ids", "decoded")
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_token_counts": op10_token_counts,
 }
