@@ -15,7 +15,8 @@ bucket of their hash, which names signatures of two nodes or more. (3) Each
 node is compared in full with the least node under each of its signatures;
 links give components. (4) Signatures whose nodes are still in several
 components: pairs across components whose histograms don't rule them out are
-compared too. So every link between different sets has either been tested or
+compared too, in two rounds each node's nearest only, which joins what can be
+joined, then all that are left. So every link between different sets has either been tested or
 joins what is joined already, and groups of copies cost a star, not all pairs.
 
 Sets are compared by 64-bit hashes of their elements.
@@ -224,24 +225,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "v", "elements").mapInArrow(_compare(percent), "u long, v long")
 
 
-def _across(percent: int):
+def _across(percent: int, nearest: bool):
     """Rows (key of a meeting, side, node, component, n, cells), sorted by key ->
-    pairs of nodes of different components that histograms don't rule out.
+    pairs of nodes of different components that histograms don't rule out: all,
+    or for each node its nearest only.
 
     Two histograms differ by no more than their sets do."""
 
     def meet(side, node, component, n, cells):
         order = np.argsort(n, kind="stable")
         side, node, component, n, cells = (x[order] for x in (side, node, component, n, cells))
+        least, best = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
         for i in range(len(node) - 1):
             j = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
-            ok = (component[j] != component[i]) & ((side[j] != side[i]) | (side[i] == 2))
-            k = np.flatnonzero(ok) + i + 1
-            if len(k):
-                apart = np.abs(cells[k].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
-                k = k[apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)]
-                for x in node[k]:
-                    yield (min(x, node[i]), max(x, node[i]))
+            k = np.flatnonzero((component[j] != component[i]) & ((side[j] != side[i]) | (side[i] == 2))) + i + 1
+            if not len(k):
+                continue
+            apart = np.abs(cells[k].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)
+            k, apart = k[ok], apart[ok]
+            if not nearest:
+                for x in node[k].tolist():
+                    yield (min(x, int(node[i])), max(x, int(node[i])))
+            elif len(k):
+                closer = apart < least[k]
+                least[k[closer]], best[k[closer]] = apart[closer], i
+                m = int(np.argmin(apart))
+                if apart[m] < least[i]:
+                    least[i], best[i] = apart[m], k[m]
+        for i in np.flatnonzero(best >= 0).tolist():
+            x, y = int(node[i]), int(node[best[i]])
+            yield (min(x, y), max(x, y))
 
     def run(batches):
         tail: list[pa.RecordBatch] = []
@@ -266,7 +280,7 @@ def _across(percent: int):
     return run
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs under one signature that are in different components so far."""
     placed = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
@@ -279,7 +293,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, perce
         "node", "component", "n", "cells",
     )
     rows = rows.repartition("meeting").sortWithinPartitions("meeting")
-    return rows.mapInArrow(_across(percent), "u long, v long").distinct()
+    return rows.mapInArrow(_across(percent, nearest), "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -301,10 +315,15 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
     sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
     links = common.materialise(_verify(stars, sets, percent), "links")
     labels = components(links)
-    more = common.materialise(_open_pairs(shared, labels, profiles, percent).join(stars, ["u", "v"], "left_anti"), "pairs")
-    found = common.materialise(_verify(more, sets, percent), "links")
-    if found.limit(1).count():
-        labels = components(links.unionByName(found))
+    tested = stars
+    for nearest in (True, True, False):
+        more = _open_pairs(shared, labels, profiles, percent, nearest).join(tested, ["u", "v"], "left_anti")
+        more = common.materialise(more, "pairs")
+        found = common.materialise(_verify(more, sets, percent), "links")
+        tested = tested.unionByName(more)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links)
     return profiles.select("id", "copy", "n", "node").join(labels, "node", "left").select("id", "copy", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
