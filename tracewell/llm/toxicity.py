@@ -38,7 +38,7 @@ MOST_LABELLED = 10_000
 FEATURE_BITS = 20
 MOST_FEATURES = 1000
 PREFIXES = (4, 5, 6)
-STEPS, RATE, PENALTY = 600, 0.3, 1e-5
+STEPS, PENALTY = 800, 1e-5
 FOLDS = 5
 MEMORY = 300_000
 BATCH_BYTES = 4_000_000
@@ -216,11 +216,17 @@ def _learn(rows: list[tuple[bytes, int]], reader: Reader) -> Model:
     # accelerated gradient steps, not scaled by feature: common features learn first, chance ones last
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, bias, ahead_w, ahead_bias = np.zeros(len(chosen)), base, np.zeros(len(chosen)), base
+    v = np.ones(len(chosen) + 1)
+    for _ in range(30):  # the curvature's largest value, for the longest safe step
+        v /= np.linalg.norm(v)
+        u = weight * (v[-1] + np.bincount(doc, v[at], minlength=len(y)))
+        v = np.r_[np.bincount(at, u[doc], minlength=len(chosen)), u.sum()] / len(y)
+    rate = 1 / (0.3 * np.linalg.norm(v) + PENALTY)
     for step in range(STEPS):
         z = ahead_bias + np.bincount(doc, ahead_w[at], minlength=len(y))
         error = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        next_w = ahead_w - RATE * (np.bincount(at, error[doc], minlength=len(w)) / len(y) + PENALTY * ahead_w)
-        next_bias = ahead_bias - RATE * error.mean()
+        next_w = ahead_w - rate * (np.bincount(at, error[doc], minlength=len(w)) / len(y) + PENALTY * ahead_w)
+        next_bias = ahead_bias - rate * error.mean()
         pace = step / (step + 3)
         ahead_w, ahead_bias = next_w + pace * (next_w - w), next_bias + pace * (next_bias - bias)
         w, bias = next_w, next_bias
