@@ -82,10 +82,10 @@ def doc_packing(spark, sf_dir):
     return documents.documents(numbered_lines(spark, sf_dir).select("doc_id", "row_index", "line"))
 
 
-@query()
+@query(f"WITH {_LINES} SELECT file_id, doc_id, string_agg(line, chr(10) ORDER BY row_index) || chr(10) AS text FROM num GROUP BY file_id, doc_id")
 def doc_gzip(spark, sf_dir):
     docs = documents.documents(numbered_lines(spark, sf_dir).select("file_id", "doc_id", "row_index", "line"), "file_id")
-    return documents.gz_documents(docs, "file_id").select("file_id", "doc_id", "offset", "length")
+    return documents.gz_documents(docs, "file_id").select("file_id", "doc_id", files.gunzip("member").cast("string").alias("text"))
 
 
 @query(r"SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(url)) AS BIGINT) AS bytes FROM pages WHERE url IS NOT NULL AND strlen(url) < 10485760")
@@ -318,7 +318,19 @@ def index_merge(spark, sf_dir):
 # Hashes and keys
 
 
-@query()
+_M = "CAST(4294967296 AS HUGEINT)"
+
+
+@query(f"""WITH {_POSTINGS}, w AS (SELECT DISTINCT token, hex(encode(token)) AS hx, strlen(token) AS n FROM post),
+    -- the four bytes of each block, and the bytes left over, as little-endian numbers
+    b AS (SELECT token, n, list_transform(range(0, n // 4), lambda i: CAST('0x' || hx[i * 8 + 7:i * 8 + 8] || hx[i * 8 + 5:i * 8 + 6] || hx[i * 8 + 3:i * 8 + 4] || hx[i * 8 + 1:i * 8 + 2] AS HUGEINT)) AS ks,
+                 CASE WHEN n % 4 = 0 THEN CAST(0 AS HUGEINT) ELSE CAST('0x' || array_to_string(list_transform(range(n % 4 - 1, -1, -1), lambda i: hx[(n // 4) * 8 + i * 2 + 1:(n // 4) * 8 + i * 2 + 2]), '') AS HUGEINT) END AS tail FROM w),
+    s AS (SELECT token, n, list_transform(list_transform(list_transform(ks || [tail], lambda k: k * 3432918353 % {_M}), lambda k: k * 32768 % {_M} + k // 131072), lambda k: CAST(k * 461845907 % {_M} AS BIGINT)) AS ks FROM b),
+    f AS (SELECT token, xor(xor(list_reduce([CAST(0 AS BIGINT)] || ks[:-2], lambda h, k: CAST(((xor(h, k) * CAST(8192 AS HUGEINT) % {_M} + xor(h, k) // 524288) * 5 + 3864292196) % {_M} AS BIGINT)), ks[-1]), CAST(n AS BIGINT)) AS h FROM s),
+    g AS (SELECT token, CAST(CAST(xor(h, h >> 16) AS HUGEINT) * 2246822507 % {_M} AS BIGINT) AS h FROM f),
+    e AS (SELECT token, CAST(CAST(xor(h, h >> 13) AS HUGEINT) * 3266489909 % {_M} AS BIGINT) AS h FROM g),
+    z AS (SELECT token, xor(h, h >> 16) AS h FROM e)
+    SELECT token, CASE WHEN h > 2147483648 THEN 4294967296 - h WHEN h = 2147483648 THEN -2147483648 ELSE h END AS hash FROM z""")
 def token_hash(spark, sf_dir):
     stats = index.token_stats(document_postings(spark, sf_dir), "token")
     return stats.select("token", hashing.token_hash(F.col("token")).alias("hash"))
@@ -524,7 +536,11 @@ def due_windows(spark, sf_dir):
     return rows.select(F.date_format("window", "yyyy-MM-dd HH:mm:ss").alias("win"), "idc", "files")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FILES}, f AS (SELECT time_bucket(INTERVAL 60 MINUTE, t) AS win, idc, path, size, row_number() OVER (PARTITION BY time_bucket(INTERVAL 60 MINUTE, t), idc ORDER BY path) AS k FROM ef WHERE size > 0),
+    r AS (SELECT win, idc, path, k, CAST(0 AS BIGINT) AS flush, size AS total FROM f WHERE k = 1 UNION ALL
+          SELECT f.win, f.idc, f.path, f.k, r.flush + CASE WHEN r.total >= 6000 THEN 1 ELSE 0 END, f.size + CASE WHEN r.total >= 6000 THEN 0 ELSE r.total END
+          FROM r JOIN f ON f.win = r.win AND f.idc = r.idc AND f.k = r.k + 1)
+    SELECT strftime(win, '%Y-%m-%d %H:%M:%S') AS win, idc, path, flush FROM r""")
 def size_flush(spark, sf_dir):
     rows = documents.flush_by_size(event_files(spark, sf_dir), 60, 6000)
     return rows.select(F.date_format("window", "yyyy-MM-dd HH:mm:ss").alias("win"), "idc", "path", "flush")

@@ -30,15 +30,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir,
-    else one made here for a session on one machine."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one made
+    here for a session on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, found[len("file://") :], True)
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
