@@ -11,14 +11,11 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.session import scratch
+
 #: Stands for a null id inside the operators.
 NO_ID = -(2**63)
 _made: list[tuple[object, str]] = []
@@ -68,21 +65,11 @@ def public_id(column: str = "id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        atexit.register(shutil.rmtree, found[len("file://") :], True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the
     lineage in a way that outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
