@@ -6,12 +6,11 @@ read again; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import jaccard, packing, pii, substring, toxicity
-from tracewell.llm.common import shared_dir, table
+from tracewell.llm.common import table
+from tracewell.session import scratch
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
