@@ -103,6 +103,7 @@ def templates(paths: DataFrame) -> DataFrame:
         same = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l)) <= Z * error + 1e-12
         general = F.col("segment").rlike(VARIABLE) | ((F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE)) | F.coalesce(same, F.lit(False))
         named = child.join(parent, ["host", "template"]).withColumn("name", F.when(general, F.lit("*")).otherwise(F.col("segment")))
+        named = common.materialise(named.select("host", "template", "segment", "name", "l", "b", "above"), "segments")
         merged = named.groupBy("host", "template", "name").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"), F.max("above").alias("above"))
         merged = merged.select("host", "template", "name", ((F.col("mb") + STRENGTH * F.col("above")) / (F.col("ml") + STRENGTH)).alias("next"))
         step = named.select("host", "template", "segment", "name").join(merged, ["host", "template", "name"])
@@ -111,6 +112,7 @@ def templates(paths: DataFrame) -> DataFrame:
             F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
             F.coalesce("next", "purity").alias("purity"), "n", "labelled", "blocked",
         )
+        rows = common.materialise(rows, "templates")  # a level a plan: together they would outgrow the driver
     return rows.select("host", "path", "template", "purity")
 
 
