@@ -187,3 +187,14 @@ def test_numbering_by_prefix_sums(spark):
         total += r.n
     begun = documents.number_documents(spark.createDataFrame([(1, 7), (2, 3)], "k long, n_lines long"), "k", 3, F.lit(0), 100)
     assert [(r.n_docs, r.begin) for r in begun.orderBy("k").collect()] == [(3, 100), (1, 103)]
+
+
+def test_a_lookup_prunes(spark, tmp_path):
+    postings = index.tokens(numbered(spark, LINES), CONFIG).select(F.lit("b").alias("business"), F.lit("2024-01-01").cast("date").alias("day"), "*")
+    index.write(postings, str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p")).where("business = 'b' and day = date'2024-01-01'")
+    plan = search.hits(stored, [("text", "the")], "day")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,the)" in plan and "(field#" in plan.split("PartitionFilters")[1]
+    plan = search.hits(stored, [("text", "the"), ("kind", "a")], "day")._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(token" in plan and "(field#" in plan.split("PartitionFilters")[1]
+    assert plan.count("Exchange") == 1
