@@ -18,7 +18,6 @@ from tracewell.session import scratch
 
 #: Stands for a null id inside the operators.
 NO_ID = -(2**63)
-_made: list[tuple[object, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,18 +70,27 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_intermediates(spark: SparkSession) -> None:
-    """Deletes what materialise() has written; results that read it must be stored by then."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for _, path in _made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    _made.clear()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what materialise() wrote, once nothing that is still to run reads it.
+    Other DataFrames are passed over."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, an aggregate by keys, such that adaptive execution can
+    split a hot key: by a key of its own, right is dealt out anew, and both sides are
+    plain shuffles. (Else left would share the aggregate's shuffle, which can't be split.)"""
+    return left.withColumn("_apart", F.struct(*keys)).join(right.withColumn("_apart", F.struct(*keys)).drop(*keys), "_apart", how).drop("_apart")
 
 
 def total_bytes(docs: DataFrame) -> int:

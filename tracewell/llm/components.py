@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_apart, materialise
 
 
 def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """edges: (u, v). Each u hands the least of itself and its neighbours to its
     neighbours (to those above it, if larger_only, else to itself as well)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = edges.join(least, "u")
+    joined = join_apart(edges, least, ["u"])
     if larger_only:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -36,11 +36,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         large = _to_least(_both_ways(edges), larger_only=True)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = materialise(_to_least(down, larger_only=False), "links")
+        before, edges = edges, materialise(_to_least(down, larger_only=False), "links")
+        discard(before)
         roots = edges.select("v").distinct()
         open_ = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.select("u").join(roots.select(F.col("v").alias("u")), "u", "left_semi"))
         if not open_.limit(1).count():
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out._stored_at = edges._stored_at
+    return out

@@ -218,7 +218,7 @@ def _compare(percent: int):
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs: (u, v) nodes. Those that are alike. u's set is sent once for every BLOCK pairs of it."""
     shares = pairs.groupBy("u").count().select("u", F.expr(f"int(1 + count div {BLOCK})").alias("shares"))
-    others = pairs.join(shares, "u").select("u", F.expr("pmod(xxhash64(v), shares)").alias("share"), "v").join(sets.withColumnRenamed("node", "v"), "v")
+    others = common.join_apart(pairs, shares, ["u"]).select("u", F.expr("pmod(xxhash64(v), shares)").alias("share"), "v").join(sets.withColumnRenamed("node", "v"), "v")
     centres = shares.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.expr("sequence(0L, shares - 1L)")).alias("share"), F.lit(None).cast("long").alias("v"), "elements")
     rows = centres.unionByName(others.select("u", "share", "v", "elements"))
     rows = rows.repartition("u", "share").sortWithinPartitions("u", "share", F.col("v").asc_nulls_first())
@@ -285,7 +285,8 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, perce
     placed = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
     about = profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
-    rows = placed.join(open_.select("signature", F.expr(f"1 + members div {BLOCK}").alias("blocks")), "signature").join(about, "node")
+    rows = common.join_apart(placed, open_.select("signature", F.expr(f"1 + members div {BLOCK}").alias("blocks")), ["signature"])
+    rows = common.join_apart(rows, about, ["node"])
     rows = rows.withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     rows = rows.select(
         F.expr("xxhash64(signature, least(mine, other), greatest(mine, other))").alias("meeting"),
@@ -315,15 +316,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
     sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
     links = common.materialise(_verify(stars, sets, percent), "links")
     labels = components(links)
-    tested = stars
+    tested, used = stars, [shared, stars, sets, links]
     for nearest in (True, True, False):
         more = _open_pairs(shared, labels, profiles, percent, nearest).join(tested, ["u", "v"], "left_anti")
         more = common.materialise(more, "pairs")
         found = common.materialise(_verify(more, sets, percent), "links")
-        tested = tested.unionByName(more)
+        tested, used = tested.unionByName(more), [*used, more, found]
         if found.limit(1).count():
             links = links.unionByName(found)
-            labels = components(links)
+            before, labels = labels, components(links)
+            common.discard(before)
+    common.discard(*used)
     return profiles.select("id", "copy", "n", "node").join(labels, "node", "left").select("id", "copy", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
@@ -331,7 +334,7 @@ def digest(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     found = groups(docs, n, percent)
     least = found.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    return found.join(least, "component", "left").select(
+    return common.join_apart(found, least, ["component"], "left").select(
         common.public_id(), "n_shingles", F.when(F.coalesce("least", "id") != common.NO_ID, F.coalesce("least", "id")).alias("component_id")
     )
 

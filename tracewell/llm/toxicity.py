@@ -283,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     sample = common.materialise(common.keyed(docs).join(F.broadcast(some), "id").select("text", "toxic"), "labelled")
     reader = Reader(reader.characters, wanted=_tellings(sample, reader))
     rows = sample.mapInArrow(_slots_of(reader), "slots binary, toxic int").collect()
+    common.discard(sample)
     return _learn(sorted((bytes(r["slots"]), r["toxic"]) for r in rows), reader)
 
 

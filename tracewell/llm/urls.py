@@ -87,11 +87,9 @@ def templates(paths: DataFrame) -> DataFrame:
     prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
     depth = min(DEPTH, max(1, (total["d"] or 1) - 1))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", DEPTH)
-    hosts = paths.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    hosts = hosts.select("host", ((F.col("b") + STRENGTH * prior) / (F.col("l") + STRENGTH)).alias("purity"))
-    rows = paths.withColumn("segments", segments).join(hosts, "host").withColumn("template", F.lit(""))
+    rows = paths.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("purity", F.lit(None).cast("double"))
     for level in range(depth):
-        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        level_rows, rows = rows, rows.withColumn("segment", F.get("segments", F.lit(level)))
         child = rows.where("segment is not null").groupBy("host", "template", "segment").agg(
             F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.first("purity").alias("above")
         )
@@ -102,17 +100,20 @@ def templates(paths: DataFrame) -> DataFrame:
         # null, so no, where this branch or its siblings have no label
         same = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l)) <= Z * error + 1e-12
         general = F.col("segment").rlike(VARIABLE) | ((F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE)) | F.coalesce(same, F.lit(False))
-        named = child.join(parent, ["host", "template"]).withColumn("name", F.when(general, F.lit("*")).otherwise(F.col("segment")))
+        named = common.join_apart(child, parent, ["host", "template"]).withColumn("name", F.when(general, F.lit("*")).otherwise(F.col("segment")))
+        host = (F.col("all_b") + STRENGTH * prior) / (F.col("all_l") + STRENGTH)  # what stands above the first level
+        named = named.withColumn("above", F.coalesce("above", host))
         named = common.materialise(named.select("host", "template", "segment", "name", "l", "b", "above"), "segments")
         merged = named.groupBy("host", "template", "name").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"), F.max("above").alias("above"))
         merged = merged.select("host", "template", "name", ((F.col("mb") + STRENGTH * F.col("above")) / (F.col("ml") + STRENGTH)).alias("next"))
-        step = named.select("host", "template", "segment", "name").join(merged, ["host", "template", "name"])
+        step = common.join_apart(named.select("host", "template", "segment", "name"), merged, ["host", "template", "name"])
         rows = rows.join(step, ["host", "template", "segment"], "left").select(
             "host", "path", "segments",
             F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
             F.coalesce("next", "purity").alias("purity"), "n", "labelled", "blocked",
         )
-        rows = common.materialise(rows, "templates")  # a level a plan: together they would outgrow the driver
+        before, rows = level_rows, common.materialise(rows, "templates")  # a level a plan: together they would outgrow the driver
+        common.discard(before, named)
     return rows.select("host", "path", "template", "purity")
 
 
@@ -124,7 +125,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("at").alias("labelled"), F.coalesce(F.sum(block), F.lit(0)).alias("blocked"))
     learned = templates(common.materialise(paths, "paths"))
     learned_verdict = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return rows.join(learned, ["host", "path"], "left").select(
+    return common.join_apart(rows, learned, ["host", "path"], "left").select(
         "page_id", "host", "path", _pick(rules, F.col("at"), "name").alias("rule"),
         F.coalesce(_pick(rules, F.col("at"), "verdict"), learned_verdict).alias("verdict"), "template", "purity",
     )
