@@ -86,13 +86,6 @@ def discard(*stored: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, an aggregate by keys, such that adaptive execution can
-    split a hot key: by a key of its own, right is dealt out anew, and both sides are
-    plain shuffles. (Else left would share the aggregate's shuffle, which can't be split.)"""
-    return left.withColumn("_apart", F.struct(*keys)).join(right.withColumn("_apart", F.struct(*keys)).drop(*keys), "_apart", how).drop("_apart")
-
-
 def total_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; docs as keyed() gives them. A JVM-side scan of one column."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

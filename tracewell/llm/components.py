@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_apart, materialise
+from .common import discard, materialise
 
 
 def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """edges: (u, v). Each u hands the least of itself and its neighbours to its
     neighbours (to those above it, if larger_only, else to itself as well)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = join_apart(edges, least, ["u"])
+    joined = edges.join(least, "u")
     if larger_only:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
