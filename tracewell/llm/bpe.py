@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, common
-from .hashing import slices, utf8
+from .hashing import chunks, utf8
 from .tokenizers import rank_encoder, ranks
 
 BATCH_BYTES = 5_000_000
@@ -55,25 +55,23 @@ def token_bytes(path: str) -> list[bytes]:
 
 def _batches(batches):
     """(name, ids, texts, words by frequency, word number at every position, positions per text)."""
-    for batch in batches:
-        ids, texts = batch.columns
-        for a, b in slices(texts, BATCH_BYTES):
-            some = texts.slice(a, b - a)
-            data, offsets = utf8(some)
-            name = int.from_bytes(hashlib.blake2b(data.tobytes() + offsets.tobytes() + ids.slice(a, b - a).to_numpy().tobytes(), digest_size=8).digest(), "little", signed=True)
-            found: dict[str, int] = {}
-            split = _pattern(public_tokenizers.PATTERN).findall
-            numbers, sizes = [], []
-            for text in some:
-                at = [found.setdefault(w, len(found)) for w in split(text.as_py())]
-                sizes.append(len(at))
-                numbers.append(np.array(at, np.uint32))
-            at = np.concatenate(numbers)
-            order = np.argsort(-np.bincount(at, minlength=len(found)), kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            words = list(found)
-            yield name, ids.slice(a, b - a).to_pylist(), [words[i] for i in order.tolist()], rank[at], np.array(sizes, np.int64)
+    for chunk in chunks(batches, 1, BATCH_BYTES):
+        ids, some = chunk.columns
+        data, offsets = utf8(some)
+        name = int.from_bytes(hashlib.blake2b(data.tobytes() + offsets.tobytes() + ids.to_numpy().tobytes(), digest_size=8).digest(), "little", signed=True)
+        found: dict[str, int] = {}
+        split = _pattern(public_tokenizers.PATTERN).findall
+        numbers, sizes = [], []
+        for text in some:
+            at = [found.setdefault(w, len(found)) for w in split(text.as_py())]
+            sizes.append(len(at))
+            numbers.append(np.array(at, np.uint32))
+        at = np.concatenate(numbers)
+        order = np.argsort(-np.bincount(at, minlength=len(found)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(found)
+        yield name, ids.to_pylist(), [words[i] for i in order.tolist()], rank[at], np.array(sizes, np.int64)
 
 
 def _words(buckets: int):

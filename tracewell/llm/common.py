@@ -24,8 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of rows: where the session has Spark's default of
+    10,000, a tenth of it, since texts may be long. Operators put batches together again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(id, text) of documents: no nulls, no other columns."""
+    _small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -47,6 +56,7 @@ def copy_number(docs: DataFrame) -> Column:
 
 def keys(docs: DataFrame) -> list[Column]:
     """id and copy, which name a row together (equal rows alike)."""
+    _small_batches(docs.sparkSession)
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), copy_number(docs).alias("copy")]
 
 

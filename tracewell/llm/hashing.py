@@ -179,3 +179,21 @@ def slices(texts: pa.Array, most_bytes: int):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes, "right")) - 1)
         yield a, min(b, n)
         a = b
+
+
+def chunks(batches, column: int, most_bytes: int):
+    """Batches cut and put together again so that each has about most_bytes of text
+    in a column, the last maybe less."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for a, b in slices(batch.column(column), most_bytes):
+            part = batch.slice(a, b - a)
+            more = part.column(column).nbytes
+            if held and size + more > most_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import blobs, common
 from .components import components
-from .hashing import distinct, mix, shingles, slices, word_hashes
+from .hashing import chunks, distinct, mix, shingles, slices, word_hashes
 
 CHUNK_BYTES = 8_000_000
 BUCKET_SIGNATURES = 1_500_000
@@ -126,27 +126,25 @@ def signatures(h: np.ndarray, counts: np.ndarray, plan: Plan) -> tuple[np.ndarra
 
 def _sign(n: int, lower: bool, plan: Plan, buckets: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(0)
-            for a, b in slices(texts, CHUNK_BYTES):
-                h, counts = _sets(texts.slice(a, b - a), n, lower)
-                nodes = _nodes(h, counts)
-                first = np.zeros(len(counts), dtype=bool)
-                first[np.unique(nodes, return_index=True)[1]] = True
-                first &= counts > 0
-                if not first.any():
-                    continue
-                h, counts, nodes = h[np.repeat(first, counts)], counts[first], nodes[first]
-                order = np.argsort(nodes.view(np.uint64))
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                table = blobs.pack_rising(nodes.view(np.uint64)[order])
-                s, whose = signatures(h, counts, plan)
-                by = np.argsort(s)
-                s, whose = s[by], place[whose[by]]
-                cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(k, table, blobs.pack_rising(s[i:j]), blobs.pack(whose[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "signatures", "whose"])
+        for chunk in chunks(batches, 0, CHUNK_BYTES):
+            h, counts = _sets(chunk.column(0), n, lower)
+            nodes = _nodes(h, counts)
+            first = np.zeros(len(counts), dtype=bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            first &= counts > 0
+            if not first.any():
+                continue
+            h, counts, nodes = h[np.repeat(first, counts)], counts[first], nodes[first]
+            order = np.argsort(nodes.view(np.uint64))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            table = blobs.pack_rising(nodes.view(np.uint64)[order])
+            s, whose = signatures(h, counts, plan)
+            by = np.argsort(s)
+            s, whose = s[by], place[whose[by]]
+            cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(k, table, blobs.pack_rising(s[i:j]), blobs.pack(whose[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "signatures", "whose"])
 
     return run
 

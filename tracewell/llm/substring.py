@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs, common
-from .hashing import slices, windows, word_hashes
+from .hashing import chunks, windows, word_hashes
 
 WIDTH = 20
 #: Windows that one task holds at once, and that one bucket is laid out for.
@@ -75,39 +75,38 @@ def _hash_windows(width: int, buckets: int, groups: int):
     whatever other chunks hold (group set; any bucket passes them on)."""
 
     def run(batches):
-        for batch in batches:
-            ids, copies, texts = (batch.column(i) for i in range(3))
-            for i, j in slices(texts, CHUNK_BYTES):
-                key = _order_key(ids.slice(i, j - i).to_numpy())
-                copy = copies.slice(i, j - i).to_numpy().astype(np.uint64)
-                words, counts = word_hashes(texts.slice(i, j - i))
-                hashes, at, per = windows(words, counts, width)
-                if not len(hashes):
-                    continue
-                rank = np.empty(len(key), np.int64)
-                rank[np.lexsort((copy, key))] = np.arange(len(key))
-                owner = np.repeat(np.arange(len(key)), per)
-                start = (at - np.repeat(np.cumsum(counts) - counts, per)).astype(np.uint64)
-                order = np.arange(len(hashes))
-                if (np.diff(rank) < 0).any():
-                    order = np.lexsort((start, rank[owner]))
-                order = order[np.argsort(hashes[order], kind="stable")]
-                h, o, s = hashes[order], owner[order], start[order]
-                same = np.zeros(len(h), dtype=bool)
-                same[1:] = h[1:] == h[:-1]
-                # of equal rows, which share id and copy, all hold the first window
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-                gone = np.flatnonzero(same & ((key[o] != key[o[lead]]) | (copy[o] != copy[o[lead]]) | (s != s[lead])))
-                rows = _by_group(groups, lambda n: n % buckets, key[o[gone]], copy[o[gone]], s[gone])
-                rows = [(x[0], x[1], None, *x[2:]) for x in rows]
-                h, o, s = h[~same], o[~same], s[~same]
-                low = key.min()
-                cut = np.searchsorted(_buckets(h, buckets), np.arange(buckets + 1))
-                for k in range(buckets):
-                    x = slice(cut[k], cut[k + 1])
-                    if cut[k] < cut[k + 1]:
-                        rows.append((k, None, int(_ids(low[None])[0]), blobs.pack_rising(h[x]), blobs.pack(key[o[x]] - low), blobs.pack(copy[o[x]]), blobs.pack(s[x])))
-                yield _batch(rows, _SENT)
+        for chunk in chunks(batches, 2, CHUNK_BYTES):
+            ids, copies, texts = chunk.columns
+            key = _order_key(ids.to_numpy())
+            copy = copies.to_numpy().astype(np.uint64)
+            words, counts = word_hashes(texts)
+            hashes, at, per = windows(words, counts, width)
+            if not len(hashes):
+                continue
+            rank = np.empty(len(key), np.int64)
+            rank[np.lexsort((copy, key))] = np.arange(len(key))
+            owner = np.repeat(np.arange(len(key)), per)
+            start = (at - np.repeat(np.cumsum(counts) - counts, per)).astype(np.uint64)
+            order = np.arange(len(hashes))
+            if (np.diff(rank) < 0).any():
+                order = np.lexsort((start, rank[owner]))
+            order = order[np.argsort(hashes[order], kind="stable")]
+            h, o, s = hashes[order], owner[order], start[order]
+            same = np.zeros(len(h), dtype=bool)
+            same[1:] = h[1:] == h[:-1]
+            # of equal rows, which share id and copy, all hold the first window
+            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+            gone = np.flatnonzero(same & ((key[o] != key[o[lead]]) | (copy[o] != copy[o[lead]]) | (s != s[lead])))
+            rows = _by_group(groups, lambda n: n % buckets, key[o[gone]], copy[o[gone]], s[gone])
+            rows = [(x[0], x[1], None, *x[2:]) for x in rows]
+            h, o, s = h[~same], o[~same], s[~same]
+            low = key.min()
+            cut = np.searchsorted(_buckets(h, buckets), np.arange(buckets + 1))
+            for k in range(buckets):
+                x = slice(cut[k], cut[k + 1])
+                if cut[k] < cut[k + 1]:
+                    rows.append((k, None, int(_ids(low[None])[0]), blobs.pack_rising(h[x]), blobs.pack(key[o[x]] - low), blobs.pack(copy[o[x]]), blobs.pack(s[x])))
+            yield _batch(rows, _SENT)
 
     return run
 
