@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from . import blobs, common
 from .components import components
-from .hashing import chunks, distinct, mix, shingles, slices, word_hashes
+from .hashing import chunks, distinct, mix, shingles, slices, tidied, tidy, word_hashes
 
-CHUNK_BYTES = 8_000_000
-BUCKET_SIGNATURES = 1_500_000
+CHUNK_BYTES = 6_000_000
+BUCKET_SIGNATURES = 1_000_000
 CELLS = 128
 #: Members of one signature that meet at once in step 4; of one centre in step 3.
 BLOCK = 1500
@@ -173,6 +173,7 @@ def _shared(table: pa.Table) -> pa.Table:
         s, v, low = s[keep], v[keep], low[keep]
     else:
         low = v
+    tidy()
     return pa.table({"signature": s.view(np.int64), "node": v, "low": low})
 
 
@@ -220,7 +221,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centres = shares.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.expr("sequence(0L, shares - 1L)")).alias("share"), F.lit(None).cast("long").alias("v"), "elements")
     rows = centres.unionByName(others.select("u", "share", "v", "elements"))
     rows = rows.repartition("u", "share").sortWithinPartitions("u", "share", F.col("v").asc_nulls_first())
-    return rows.select("u", "v", "elements").mapInArrow(_compare(percent), "u long, v long")
+    return rows.select("u", "v", "elements").mapInArrow(tidied(_compare(percent)), "u long, v long")
 
 
 def _across(percent: int, nearest: bool):
@@ -292,7 +293,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, perce
         "node", "component", "n", "cells",
     )
     rows = rows.repartition("meeting").sortWithinPartitions("meeting")
-    return rows.mapInArrow(_across(percent, nearest), "u long, v long").distinct()
+    return rows.mapInArrow(tidied(_across(percent, nearest)), "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -300,17 +301,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
     number that documents of one group share, null for empty sets."""
     base = common.numbered(docs)
     plan = Plan(percent)
-    profiles = common.materialise(base.mapInArrow(_profile(n, lower), "id long, copy long, n long, node long, cells binary"), "profiles")
+    profiles = common.materialise(base.mapInArrow(tidied(_profile(n, lower)), "id long, copy long, n long, node long, cells binary"), "profiles")
     elements = profiles.agg(F.sum("n")).first()[0] or 0
     per_element = 3.6 * (100 - percent) / (100 + percent)
     buckets = max(4, int(elements * per_element) // BUCKET_SIGNATURES)
-    signed = base.select("text").mapInArrow(_sign(n, lower, plan, buckets), "bucket int, nodes binary, signatures binary, whose binary")
+    signed = base.select("text").mapInArrow(tidied(_sign(n, lower, plan, buckets)), "bucket int, nodes binary, signatures binary, whose binary")
     shared = common.materialise(signed.groupBy("bucket").applyInArrow(_shared, "signature long, node long, low long"), "signatures")
 
     stars = common.materialise(shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     wanted = shared.select("node").distinct()
     chosen = profiles.join(wanted, "node").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x")).select("node", "x.id", "x.copy")
-    sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(_set_of(n, lower), "node long, elements binary")
+    sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, elements binary")
     sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
     links = common.materialise(_verify(stars, sets, percent), "links")
     labels = components(links)

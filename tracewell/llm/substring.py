@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs, common
-from .hashing import chunks, windows, word_hashes
+from .hashing import chunks, tidied, tidy, windows, word_hashes
 
 WIDTH = 20
 #: Windows that one task holds at once, and that one bucket is laid out for.
-CHUNK_BYTES = 10_000_000
-BUCKET_WINDOWS = 1_500_000
+CHUNK_BYTES = 6_000_000
+BUCKET_WINDOWS = 1_000_000
 #: Text of the documents that meet their intervals at once.
 GROUP_BYTES = 8_000_000
 _BYTES_A_WORD = 6
@@ -155,6 +155,8 @@ def _later_ones(groups: int):
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
         gone = np.flatnonzero(same & ((key != key[lead]) | (copy != copy[lead]) | (start != start[lead])))
         rows = [x[1:] for x in _by_group(groups, lambda n: 0, key[gone], copy[gone], start[gone])]
+        del h, order, same, many, lead, ks, cs, ss, key, copy, start
+        tidy()
         return pa.concat_tables([passed, pa.Table.from_batches([_batch(rows, _FOUND)])])
 
     return run
@@ -166,7 +168,7 @@ def _meet_again(docs: DataFrame, width: int, finish, schema: str | T.StructType)
     size = common.total_bytes(docs)
     buckets = int(max(4, -(-size // (_BYTES_A_WORD * BUCKET_WINDOWS))))
     groups = int(size // GROUP_BYTES) | 1
-    sent = docs.select("id", "copy", "text").mapInArrow(_hash_windows(width, buckets, groups), "bucket int, group long, low long, a binary, b binary, c binary, d binary")
+    sent = docs.select("id", "copy", "text").mapInArrow(tidied(_hash_windows(width, buckets, groups)), "bucket int, group long, low long, a binary, b binary, c binary, d binary")
     found = sent.groupBy("bucket").applyInArrow(_later_ones(groups), "group long, a binary, b binary, c binary, d binary")
 
     def cut(table: pa.Table, gone: pa.Table) -> pa.Table:

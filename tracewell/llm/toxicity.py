@@ -25,23 +25,25 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .hashing import slices, utf8
+from .hashing import slices, tidied, tidy, utf8
 
 MOST_LABELLED = 30_000
 FEATURE_BITS = 20
 MOST_FEATURES = 1000
 PREFIXES = (4, 5, 6)
-STEPS, PENALTY = 1000, 1e-5
+STEPS, PENALTY = 400, 1e-5
 FOLDS = 5
-MEMORY = 300_000
+MEMORY = 150_000
 BATCH_BYTES = 4_000_000
 
 # What a character can stand for in a disguised word.
@@ -83,7 +85,7 @@ def _trigrams(batches):
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log p(c | a, b) over all texts; at most 28**3 numbers reach the driver."""
-    rows = common.keyed(docs).select("text").mapInArrow(_trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()
+    rows = common.keyed(docs).select("text").mapInArrow(tidied(_trigrams), "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(ALPHABET**3)
     for r in rows:
         counts[r["trigram"]] = r["n"]
@@ -264,7 +266,7 @@ def _slot_counts(reader: Reader):
 def _tellings(sample: DataFrame, reader: Reader) -> frozenset[int]:
     """The MOST_FEATURES slots that tell toxic texts best: frequent among them, rare among others."""
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    counts = sample.mapInArrow(_slot_counts(reader), "slot int, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInArrow(tidied(_slot_counts(reader)), "slot int, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     odds = (F.col("toxic") + 0.5) / (size["toxic"] + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (size["n"] - size["toxic"] + 1))
     best = counts.where(F.col("toxic") >= 2).withColumn("gain", F.col("toxic") * F.log(odds)).where("gain > 0").orderBy(F.desc("gain"), "slot").limit(MOST_FEATURES)
     return frozenset(r["slot"] for r in best.select("slot").collect())
@@ -282,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     # at most most_labelled rows of two numbers
     sample = common.materialise(common.keyed(docs).join(F.broadcast(some), "id").select("text", "toxic"), "labelled")
     reader = Reader(reader.characters, wanted=_tellings(sample, reader))
-    rows = sample.mapInArrow(_slots_of(reader), "slots binary, toxic int").collect()
+    rows = sample.mapInArrow(tidied(_slots_of(reader)), "slots binary, toxic int").collect()
     common.discard(sample)
     return _learn(sorted((bytes(r["slots"]), r["toxic"]) for r in rows), reader)
 
@@ -291,8 +293,11 @@ def scorer(model: Model):
     """A Pandas UDF from text to score."""
 
     @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(lambda t: model.score(t or ""))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: model.score(t or ""))
+        model.reader.known.clear()
+        tidy()
 
     return score
 
