@@ -310,7 +310,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
 
     stars = common.materialise(shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     wanted = shared.select("node").distinct()
-    chosen = profiles.join(wanted, "node").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x")).select("node", "x.id", "x.copy")
+    chosen = common.join_apart(profiles, wanted, ["node"]).groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x")).select("node", "x.id", "x.copy")
     sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, elements binary")
     sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
     links = common.materialise(_verify(stars, sets, percent), "links")
