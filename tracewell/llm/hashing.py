@@ -201,12 +201,16 @@ def chunks(batches, column: int, most_bytes: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, 1 << 20)  # arrays of a megabyte or more are mapped, and unmapped when freed
+
+
 def tidy() -> None:
     """Gives freed memory back to the system: Python workers live on, idle, between tasks."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def tidied(run):

@@ -38,7 +38,9 @@ from . import blobs, common
 from .components import components
 from .hashing import chunks, distinct, mix, shingles, slices, tidied, tidy, word_hashes
 
-CHUNK_BYTES = 6_000_000
+#: Text whose signatures are packed together, and text whose sets are held at once.
+CHUNK_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 BUCKET_SIGNATURES = 1_000_000
 CELLS = 128
 #: Members of one signature that meet at once in step 4; of one centre in step 3.
@@ -81,7 +83,7 @@ def _profile(n: int, lower: bool):
     def run(batches):
         for batch in batches:
             ids, copies, texts = batch.columns
-            for a, b in slices(texts, CHUNK_BYTES):
+            for a, b in slices(texts, SLICE_BYTES):
                 h, counts = _sets(texts.slice(a, b - a), n, lower)
                 cells = np.bincount(np.repeat(np.arange(b - a) * CELLS, counts) + (mix(h) % np.uint64(CELLS)).astype(np.int64), minlength=(b - a) * CELLS)
                 cells = np.minimum(cells, 255).astype(np.uint8).reshape(b - a, CELLS)
@@ -183,7 +185,7 @@ def _set_of(n: int, lower: bool):
     def run(batches):
         for batch in batches:
             node, texts = batch.columns
-            for a, b in slices(texts, CHUNK_BYTES):
+            for a, b in slices(texts, SLICE_BYTES):
                 h, counts = _sets(texts.slice(a, b - a), n, lower)
                 want, to = node.slice(a, b - a).to_numpy(), np.cumsum(counts)
                 rows = [(w, blobs.pack_rising(h[e - c : e])) for w, e, c, ok in zip(want.tolist(), to, counts, _nodes(h, counts) == want) if ok]
