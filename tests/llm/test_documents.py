@@ -320,6 +320,16 @@ class TestToxicity:
         for disguise in ("sc0undrel", "s c o u n d r e l", "r.o.t.t.e.r", "scoundreeel", "$c0undr3l"):
             assert model.score(f"tarasti lune {disguise} osta") > model.score("tarasti lune osta"), disguise
 
+    def test_sees_every_spacing_and_repetition(self, model):
+        model = model[0]
+        disguises = ["sccoundrel", "rrootttteerr", "sc.oundrel", "rot-ter", "wret_ched", "s c oundrel", "wr etched", "(r o t t e r)", '"w r e t c h e d"', "r  o  t  t\ne  r", "r,o,t,t,e,r"]
+        plain = model.score("tarasti lune osta")
+        assert [d for d in disguises if model.score(f"tarasti lune {d} osta") <= plain] == []
+
+    def test_skeletons_hold_every_reading(self):
+        for token, word in (("1 d 1 0 t", "idiot"), ("b,11..66er", "bigger"), ("m0--rr0 nn", "moron"), ("|e$$on", "lesson")):
+            assert toxicity.skeleton(word) in toxicity.skeleton(f"x{token}y")
+
     def test_odd(self, spark, model, odd, repeated, empty, docs, labels):
         model = model[0]
         got = toxicity.scores(odd, model).collect()

@@ -1,11 +1,19 @@
 """Toxicity of documents, seen through disguises.
 
 A word may be disguised: look-alike characters (1d10t), letters spelled out
-(i d i o t, i.d.i.o.t), letters repeated (idiooot). Every token that shows such
-signs is decoded by Viterbi over its lattice: at each place the letters that the
-character can stand for, or its own deletion, weighed by a channel model and a
-character trigram model counted over all documents. Words and their beginnings,
-as written and as decoded, are the features of a logistic model.
+(i d i o t, i.d.i.o.t, st.upid), words taken apart (st upid), letters repeated
+(idiooot, iddiioott). A token is decoded by Viterbi over its lattice: at each
+place the letters that the character can stand for, or its own deletion, weighed
+by a channel model and a character trigram model counted over all documents. It is
+left as it is only where the lattice has no other reading: no letter twice in a
+row, no look-alike or separator between its ends; numbers stay numbers. Over any
+white space, quotes and brackets, neighbouring tokens are read together where the
+likeliest reading of their ends drops the space. Trigrams see two letters back, so
+the ends decide as the whole would; only between two letters outside a-z, which
+the model doesn't tell apart, tokens of several letters stay apart. Words and their
+beginnings, as written and as decoded, are the features of a logistic model.
+Once the model's words are known, only tokens that one of them fits are read:
+with alike letters as one, repeats and separators gone, every reading is seen.
 
 The model learns from a bounded sample: MOST_LABELLED labelled documents, those
 with the least hashes of their ids. Features are counted and chosen in Spark; of
@@ -28,6 +36,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +53,7 @@ PREFIXES = (4, 5, 6)
 STEPS, PENALTY = 400, 1e-5
 FOLDS = 5
 MEMORY = 150_000
+LONG = 24  # longer tokens seldom come again
 BATCH_BYTES = 4_000_000
 
 # What a character can stand for in a disguised word.
@@ -56,7 +66,7 @@ _EDGE = ".,;:!?\"'()[]{}<>#%&*$|_-/\\+=~`"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<![^\s])[\w@$!|+](?:[ .\-_*~][\w@$!|+]){3,}(?![^\s.,;:?!])")
 _SPELLED_TOKEN = re.compile(r"[\w@$!|+](?:[ .\-_*~/][\w@$!|+]){2,}")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 #: Letters of the trigram model: 0 is a word's edge, 1-26 are a-z, 27 any other.
 ALPHABET = 28
 _CODE = np.zeros(256, dtype=np.int64)
@@ -134,16 +144,50 @@ def decode(text: str, model: np.ndarray) -> str:
     return "".join(reversed(out)).strip()
 
 
+def _core(token: str) -> str:
+    return token.rstrip(_EDGE).lstrip(".,;:?\"'()[]{}#%&*_-/\\=~`")
+
+
 def disguised(token: str) -> bool:
-    """Whether a lower-case token shows signs of a disguise."""
-    if token.isalpha():
-        return bool(_THRICE.search(token))
-    core = token.rstrip(_EDGE).lstrip(".,;:?\"'()[]{}#%&*_-/\\=~`")
-    if core.isalpha():
-        return bool(_THRICE.search(core))
-    if _SPELLED_TOKEN.search(core):
+    """Whether the lattice of a lower-case token has other readings than the token."""
+    core = token if token.isalpha() else _core(token)
+    if _TWICE.search(core):
         return True
-    return any(c in LOOKS for c in core) and any(c.isalpha() for c in core)
+    if core.isalpha():
+        return False
+    return any(c in LOOKS or c in GAPS for c in core) and any(c.isalpha() for c in core) or bool(_SPELLED_TOKEN.search(core))
+
+
+def _ends(token: str) -> tuple[str, str, str]:
+    """A token without quotes and brackets, its first letters and its last ones: two, three where they are the same."""
+    core = _core(token)
+    return core, core[: 3 if core[:1] == core[1:2] else 2], core[-3 if core[-1:] == core[-2:-1] else -2 :]
+
+
+class _Plain(dict):
+    """Letters that share a look-alike as one; what is no letter in any reading is gone."""
+
+    def __missing__(self, c: int):
+        x = LOOKS.get(chr(c), chr(c))[0]
+        self[c] = {"l": "i", "g": "b"}.get(x, x if x.isalpha() else None)
+        return self[c]
+
+
+_PLAIN = _Plain()
+_REPEATED = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def skeleton(token: str) -> str:
+    """The same for all readings of a token, and part of it for each word of a reading."""
+    return _REPEATED.sub(r"\1", token.translate(_PLAIN))
+
+
+def _automaton(words) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        out.add_word(w)
+    out.make_automaton()
+    return out
 
 
 def _slots(word: str) -> list[int]:
@@ -158,22 +202,102 @@ class Reader:
 
     characters: np.ndarray
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    ends: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    links: dict[str, bool] = field(default_factory=dict)
     wanted: frozenset[int] | None = None
+    #: Skeletons of the wanted words and beginnings; None while they aren't known.
+    sought: frozenset[str] | None = None
+    #: Gathers wanted words and beginnings.
+    told: set[str] | None = None
+    seeker: ahocorasick.Automaton | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "ends": {}, "links": {}, "seeker": None}
+
+    def _fits(self, token: str) -> bool:
+        """Whether a reading of the token can hold a wanted word or beginning."""
+        if self.sought is None:
+            return True
+        if not self.sought:
+            return False
+        if self.seeker is None:
+            self.seeker = _automaton(self.sought)
+        return next(self.seeker.iter(skeleton(token)), None) is not None
+
+    def forget(self) -> None:
+        for memo in (self.known, self.ends, self.links):
+            memo.clear()
 
     def _of(self, token: str) -> tuple[int, ...]:
+        if not self._fits(token):
+            return ()
         words = set(_LETTERS.findall(token))
         if disguised(token):
             words.update(decode(token, self.characters).split())
+        if self.told is not None:
+            self.told.update(x for w in words for s, x in zip(_slots(w), (w, *(w[:n] for n in PREFIXES))) if s in self.wanted)
         slots = {s for w in words for s in _slots(w)}
         return tuple(slots if self.wanted is None else slots & self.wanted)
 
+    def _linked(self, ends: str) -> bool:
+        """Whether the likeliest reading drops a space between ends of tokens."""
+        if ends.count(" ") == 1:
+            at = ends.index(" ")
+            if _code(ends[at - 1]) == _code(ends[at + 1]) == 27:
+                return False
+        return decode(ends, self.characters).count(" ") < ends.count(" ")
+
+    def _joined(self, tokens: list[str]) -> set[str]:
+        """What neighbouring tokens are together, wherever a space is likelier dropped."""
+        ends, links = self.ends, self.links
+        for memo in (ends, links):
+            if len(memo) > MEMORY:
+                memo.clear()
+        out: set[str] = set()
+        run: list[str] = []
+        tail, core, singles = "", "", []  # the last token of several characters, and single ones since
+        for t in [*tokens, ""]:
+            found = ends.get(t)
+            if found is None:
+                found = ends[t] = _ends(t)
+            following, head, next_tail = found
+            if len(following) == 1:
+                singles.append(following)
+                continue
+            if not following and t:
+                continue  # no more than quotes, brackets or separators
+            if singles:
+                key = " ".join([x for x in (tail, *singles, head) if x])
+            elif core and head:
+                key = f"{tail} {head}"
+            else:
+                key = ""
+            linked = links.get(key)
+            if linked is None:
+                linked = self._linked(key)
+                if len(key) < 40:
+                    links[key] = linked
+            if linked:
+                run += [x for x in (() if run else (core,)) if x] + singles
+                if following:
+                    run.append(following)
+                if singles:
+                    middle = " ".join(singles)
+                    out.update((middle, f"{core} {middle}", f"{middle} {following}"))
+                else:
+                    out.add(core + following)
+            if run and not (linked and following):
+                out.add("".join(run) if min(map(len, run)) > 1 else " ".join(run))
+                run = []
+            tail, core, singles = next_tail, following, []
+        return out
+
     def features(self, text: str) -> set[int]:
         text = text.lower()
-        tokens = set(text.split())
+        every = text.split()
+        tokens = set(every)
         tokens.update(_SPELLED.findall(text))
+        tokens |= self._joined(every)
         found: set[int] = set()
         known = self.known
         if len(known) > MEMORY:
@@ -181,7 +305,9 @@ class Reader:
         for t in tokens:
             slots = known.get(t)
             if slots is None:
-                slots = known[t] = self._of(t)
+                slots = self._of(t)
+                if len(t) <= LONG:
+                    known[t] = slots
             if slots:
                 found.update(slots)
         return found
@@ -198,8 +324,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _learn(rows: list[tuple[bytes, int]], reader: Reader) -> Model:
-    """rows: (slots as 32-bit numbers, label)."""
+def _learn(rows: list[tuple[bytes, int]], reader: Reader, told: set[str]) -> Model:
+    """rows: (slots as 32-bit numbers, label); told: the words and beginnings behind slots."""
     y = np.array([t for _, t in rows], float)
     base = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
@@ -231,17 +357,21 @@ def _learn(rows: list[tuple[bytes, int]], reader: Reader) -> Model:
         # one must do as well: a half lies a quarter of the gap above the clean ones.
         bias -= clean + (toxic - clean) / 4
     used = {int(s): float(x) for s, x in zip(chosen, w) if abs(x) > 1e-3}
-    return Model(Reader(reader.characters, wanted=frozenset(used)), used, float(bias))
+    sought = frozenset(skeleton(x) for x in told if any(s in used for s in (_slots(x)[0], *(zlib.crc32(b"%d" % n + x.encode()) & ((1 << FEATURE_BITS) - 1) for n in PREFIXES))))
+    return Model(Reader(reader.characters, wanted=frozenset(used), sought=sought - {""}), used, float(bias))
 
 
 def _slots_of(reader: Reader):
-    """(text, toxic) -> (slots, toxic) of every text."""
+    """(text, toxic) -> (slots, toxic, null) of every text, then (null, null, word) of the wanted words and beginnings found."""
 
     def run(batches):
+        reader.told = set()
         for batch in batches:
             texts, toxic = batch.columns
             rows = [np.array(sorted(reader.features(t.as_py())), np.int32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), toxic], names=["slots", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), toxic, pa.nulls(len(rows), pa.string())], names=["slots", "toxic", "word"])
+        told, reader.told = sorted(reader.told), None
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(told), pa.binary()), pa.nulls(len(told), pa.int32()), pa.array(told, pa.string())], names=["slots", "toxic", "word"])
 
     return run
 
@@ -284,9 +414,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     # at most most_labelled rows of two numbers
     sample = common.materialise(common.keyed(docs).join(F.broadcast(some), "id").select("text", "toxic"), "labelled")
     reader = Reader(reader.characters, wanted=_tellings(sample, reader))
-    rows = sample.mapInArrow(tidied(_slots_of(reader)), "slots binary, toxic int").collect()
+    rows = sample.mapInArrow(tidied(_slots_of(reader)), "slots binary, toxic int, word string").collect()
     common.discard(sample)
-    return _learn(sorted((bytes(r["slots"]), r["toxic"]) for r in rows), reader)
+    return _learn(sorted((bytes(r["slots"]), r["toxic"]) for r in rows if r["word"] is None), reader, {r["word"] for r in rows if r["word"] is not None})
 
 
 def scorer(model: Model):
@@ -296,7 +426,7 @@ def scorer(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: model.score(t or ""))
-        model.reader.known.clear()
+        model.reader.forget()
         tidy()
 
     return score
