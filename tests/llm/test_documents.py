@@ -259,6 +259,14 @@ class TestPii:
         assert found('token = "0123abcd4567"') == 'token = "[SECRET]"'
         assert found("mail a@b.cd now") == "mail [EMAIL] now"
 
+    def test_long_values(self):
+        found = lambda t: pii.redact(t, pii.find(t))
+        for n in (256, 257, 400, 100_000):
+            assert found(f"token={'k' * n} end") == "token=[SECRET] end"
+            assert found(f'password: "{"k" * n}" end') == 'password: "[SECRET]" end'
+            assert found(f"see ftp://bob:{'k' * n}@host/x y") == "see [ADDRESS] y"
+        assert pii.find("token=" * 50_000 + "a@b.cd")["secret"] == []
+
     def test_odd(self, odd, repeated, empty):
         assert pii.search(odd).count() == len(ODD)
         assert pii.search(repeated).count() == 25

@@ -45,12 +45,14 @@ _PHONE = frozenset(" ().0123456789-")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
-_CREDENTIALS = re.compile(r"[^\s/?#@\"'<>]{1,256}@(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
+_CREDENTIALS = re.compile(r"[^\s/?#@\"'<>]++@(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
 _LINK = re.compile(r"(?:[\s_-]*(?:number|num|nr|no|id|n°|#))?[\s.]{0,2}(?:\s?(?:is|was)\s|\s*[:=#]\s*|\s)", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9A-Za-z])")
 _PASSPORT = re.compile(r"[A-Z]{1,2}[0-9]{6,9}(?![0-9A-Za-z])|[0-9]{8,9}(?![0-9A-Za-z])")
-_VALUE = re.compile(r"\s*[:=]\s*(?:\"([^\"\s]{8,256})\"|'([^'\s]{8,256})'|([^\s\"',;]{8,256}))")
+_ASSIGNED = re.compile(r"\s*+[:=]\s*+")
+_QUOTED = re.compile(r"\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'")
+_BARE = re.compile(r"[^\s\"',;]*+")
 
 # Words that announce an identifier, and the parser they call.
 CUES = {
@@ -152,10 +154,19 @@ def base_spans(text: str, anchors: list) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 
+def _secret(text: str, end: int, bare: int) -> tuple[tuple[str, int, int] | None, int]:
+    """The value after a word, however long, and how far bare values are read: one that begins within another ends with it."""
+    m = _ASSIGNED.match(text, end)
+    if not m:
+        return None, bare
+    if q := _QUOTED.match(text, m.end()):
+        return ("secret", *q.span(q.lastindex)), bare
+    if m.end() >= bare:
+        bare = _BARE.match(text, m.end()).end()
+    return ("secret", m.end(), bare) if bare - m.end() >= 8 else None, bare
+
+
 def _announced(text: str, what: str, end: int) -> tuple[str, int, int] | None:
-    if what == "secret":
-        m = _VALUE.match(text, end)
-        return ("secret", *m.span(m.lastindex)) if m else None
     if text[end : end + 1].isalpha():
         return None
     link = _LINK.match(text, end)
@@ -179,12 +190,17 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     cues = [x for x in signs if x[1] not in ("at", "plus")]
     if cues:
         taken = sorted(x for k in BASE for x in spans[k])
+        bare = 0
         for at, what, end in cues:
             if what == "scheme":
                 scheme, m = _SCHEME.search(text, max(0, at - 32), at), _CREDENTIALS.match(text, end)
                 found = ("address", scheme.start(), m.end()) if scheme and m else None
+            elif at and text[at - 1].isalnum():
+                found = None
+            elif what == "secret":
+                found, bare = _secret(text, end, bare)
             else:
-                found = None if at and text[at - 1].isalnum() else _announced(text, what, end)
+                found = _announced(text, what, end)
             if found and not any(a < found[2] and found[1] < b for a, b in taken):
                 spans[found[0]].append(found[1:])
                 taken.append(found[1:])
