@@ -10,10 +10,14 @@ row, no look-alike or separator between its ends; numbers stay numbers. Over any
 white space, quotes and brackets, neighbouring tokens are read together where the
 likeliest reading of their ends drops the space. Trigrams see two letters back, so
 the ends decide as the whole would; only between two letters outside a-z, which
-the model doesn't tell apart, tokens of several letters stay apart. Words and their
-beginnings, as written and as decoded, are the features of a logistic model.
-Once the model's words are known, only tokens that one of them fits are read:
-with alike letters as one, repeats and separators gone, every reading is seen.
+the model doesn't tell apart, tokens of several letters stay apart.
+
+Features of a logistic model are words and word beginnings. They are chosen by
+how often labelled texts hold them, as written or in the plainer disguises: of
+all, those whose share of toxic texts chance doesn't explain. Then every reading
+of every text is searched for them: a text's skeleton (alike letters as one;
+repeats, separators and spaces gone) holds the skeleton of each word that some
+reading holds, so one Aho-Corasick pass over skeletons finds the places to decode.
 
 The model learns from a bounded sample: MOST_LABELLED labelled documents, those
 with the least hashes of their ids. Features are counted and chosen in Spark; of
@@ -25,14 +29,13 @@ Null doc_id: scored, held_out null; never learned from. A doc_id labelled twice
 is toxic if any of its labels says so; rows of labels without id or label are
 left out. No labels, or one class only: every score is the smoothed share of
 toxic labels. Repeated rows: each is scored. Empty table: no rows. Other columns
-are not read.
+are not read. A feature has SHORTEST letters or more when repeats are gone.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,14 +50,20 @@ from . import common
 from .hashing import slices, tidied, tidy, utf8
 
 MOST_LABELLED = 30_000
-FEATURE_BITS = 20
-MOST_FEATURES = 1000
+MOST_FEATURES = 300
 PREFIXES = (4, 5, 6)
+SHORTEST = 3
+#: The least share of toxic texts among those that hold a feature.
+TELLING = 0.5
+#: Added to the logarithm of the number of features, which the gain of a chosen one reaches.
+DOUBT = 0.0
 STEPS, PENALTY = 400, 1e-5
 FOLDS = 5
 MEMORY = 150_000
 LONG = 24  # longer tokens seldom come again
 BATCH_BYTES = 4_000_000
+#: Text that is searched at once.
+READ_BYTES = 500_000
 
 # What a character can stand for in a disguised word.
 LOOKS = {
@@ -67,6 +76,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<![^\s])[\w@$!|+](?:[ .\-_*~][\w@$!|+]){3,}(?![^\s.,;:?!])")
 _SPELLED_TOKEN = re.compile(r"[\w@$!|+](?:[ .\-_*~/][\w@$!|+]){2,}")
 _TWICE = re.compile(r"([^\W\d_])\1")
+#: Disguises that plain texts seldom hold: look-alikes between letters, letters three times.
+_PLAIN_SIGHT = re.compile(r"[^\W\d_][\d@$!|+(<€£¡]+[^\W\d_]|([^\W\d_])\1\1")
+_SPACE = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: Letters of the trigram model: 0 is a word's edge, 1-26 are a-z, 27 any other.
 ALPHABET = 28
 _CODE = np.zeros(256, dtype=np.int64)
@@ -190,54 +202,79 @@ def _automaton(words) -> ahocorasick.Automaton:
     return out
 
 
-def _slots(word: str) -> list[int]:
-    mask = (1 << FEATURE_BITS) - 1
-    out = [zlib.crc32(b"=" + word.encode()) & mask]
-    return out + [zlib.crc32(b"%d" % n + word[:n].encode()) & mask for n in PREFIXES if len(word) >= n]
+class _Characters:
+    """What characters are in a skeleton, by code point; looked up as they come."""
+
+    BETWEEN = 1  # kept, and in no word
+
+    def __init__(self):
+        self.known, self.to = np.zeros(0x110000, bool), np.zeros(0x110000, np.uint32)
+        self.known[0], self.to[0] = True, self.BETWEEN
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        for c in np.unique(codes[~self.known[codes]]).tolist():
+            x = _PLAIN[c]
+            self.known[c], self.to[c] = True, ord(x) if x else 0
+        return self.to[codes]
+
+
+_characters = _Characters()
+
+
+def names_of(word: str) -> list[str]:
+    """The features of a word: itself, and its beginnings with a star."""
+    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
 
 
 @dataclass
 class Reader:
-    """Features of texts: slots of words and word beginnings, as written and decoded."""
+    """The wanted words and word beginnings that some reading of a text holds."""
 
     characters: np.ndarray
+    wanted: dict[str, int] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
     ends: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     links: dict[str, bool] = field(default_factory=dict)
-    wanted: frozenset[int] | None = None
-    #: Skeletons of the wanted words and beginnings; None while they aren't known.
-    sought: frozenset[str] | None = None
-    #: Gathers wanted words and beginnings.
-    told: set[str] | None = None
+    #: The wanted ones by what they are without repeats.
+    thin: dict[str, list[int]] = field(default_factory=dict)
     seeker: ahocorasick.Automaton | None = None
 
+    def __post_init__(self):
+        for x, i in self.wanted.items():
+            self.thin.setdefault(_REPEATED.sub(r"\1", x), []).append(i)
+
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "ends": {}, "links": {}, "seeker": None}
 
-    def _fits(self, token: str) -> bool:
-        """Whether a reading of the token can hold a wanted word or beginning."""
-        if self.sought is None:
-            return True
-        if not self.sought:
-            return False
-        if self.seeker is None:
-            self.seeker = _automaton(self.sought)
-        return next(self.seeker.iter(skeleton(token)), None) is not None
-
     def forget(self) -> None:
         for memo in (self.known, self.ends, self.links):
             memo.clear()
 
+    def written(self, text: str) -> set[str]:
+        """Words of a text as written and in the plainer disguises."""
+        text = text.lower()
+        words = set(_LETTERS.findall(text))
+        odd = {t for t in text.split() if len(t) <= LONG and _PLAIN_SIGHT.search(t)} if _PLAIN_SIGHT.search(text) else set()
+        for t in odd.union(_SPELLED.findall(text)):
+            words.update(decode(t, self.characters).split())
+        return words
+
     def _of(self, token: str) -> tuple[int, ...]:
-        if not self._fits(token):
-            return ()
-        words = set(_LETTERS.findall(token))
-        if disguised(token):
-            words.update(decode(token, self.characters).split())
-        if self.told is not None:
-            self.told.update(x for w in words for s, x in zip(_slots(w), (w, *(w[:n] for n in PREFIXES))) if s in self.wanted)
-        slots = {s for w in words for s in _slots(w)}
-        return tuple(slots if self.wanted is None else slots & self.wanted)
+        found = self.known.get(token)
+        if found is None:
+            numbers = {self.wanted.get(x) for w in _LETTERS.findall(token) for x in names_of(w)}
+            if disguised(token):
+                for w in decode(token, self.characters).split():
+                    numbers.update(self.wanted.get(x) for x in names_of(w))
+                    thin = _REPEATED.sub(r"\1", w)  # how often a letter was meant is not to be told
+                    for x in (thin, *[thin[:n] + "*" for n in range(SHORTEST, max(PREFIXES) + 1)]):
+                        numbers.update(self.thin.get(x, ()))
+            found = tuple(numbers - {None})
+            if len(token) <= LONG:
+                if len(self.known) > MEMORY:
+                    self.known.clear()
+                self.known[token] = found
+        return found
 
     def _linked(self, ends: str) -> bool:
         """Whether the likeliest reading drops a space between ends of tokens."""
@@ -292,60 +329,91 @@ class Reader:
             tail, core, singles = next_tail, following, []
         return out
 
-    def features(self, text: str) -> set[int]:
-        text = text.lower()
-        every = text.split()
-        tokens = set(every)
-        tokens.update(_SPELLED.findall(text))
-        tokens |= self._joined(every)
-        found: set[int] = set()
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for t in tokens:
-            slots = known.get(t)
-            if slots is None:
-                slots = self._of(t)
-                if len(t) <= LONG:
-                    known[t] = slots
-            if slots:
-                found.update(slots)
-        return found
+    def _around(self, places: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray, big: str) -> Iterator[tuple[int, set[int]]]:
+        """Places that span several tokens, by first and last token -> (a token, features of what they are
+        together with the token before and the one behind)."""
+        places.sort()
+        a, b = places[0]
+        for c, d in [*places[1:], (len(starts) + 9, 0)]:
+            if c <= b + 1:
+                b = max(b, d)
+                continue
+            text = big[starts[max(a - 1, 0)] : ends[min(b + 1, len(ends) - 1)]]
+            text = text[text.rfind("\0", 0, starts[a] - starts[max(a - 1, 0)]) + 1 :].partition("\0")[0]
+            found: set[int] = set()
+            for t in self._joined(text.split()).union(_SPELLED.findall(text)):
+                found.update(self._of(t))
+            yield a, found
+            a, b = c, d
+
+    def features(self, texts: list[str]) -> list[set[int]]:
+        """Of each text, the numbers of the wanted words and beginnings that it holds in some reading."""
+        out: list[set[int]] = [set() for _ in texts]
+        if not self.wanted or not texts:
+            return out
+        if self.seeker is None:
+            self.seeker = _automaton({skeleton(x.rstrip("*")) for x in self.wanted})
+        big = "\0".join([t.lower().replace("\0", " ") for t in texts])
+        codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
+        plain = _characters(codes)
+        at = np.flatnonzero(plain)
+        plain = plain[at]
+        first = np.ones(len(at), bool)  # of a run of one letter
+        first[1:] = plain[1:] != plain[:-1]
+        plain, begun, ended = plain[first], at[np.r_[first[1:], True]], at[first]
+        hits = np.array([(end - size + 1, end) for end, size in self.seeker.iter(plain.tobytes().decode("utf-32-le", "surrogatepass"))], np.int64).reshape(-1, 2)
+        if not len(hits):
+            return out
+        solid = ~np.isin(codes, _SPACE) & (codes > 0)
+        edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        doc = np.searchsorted(np.flatnonzero(codes == 0), starts)
+        a, b = (np.searchsorted(starts, x, "right") - 1 for x in (begun[hits[:, 0]], ended[hits[:, 1]]))
+        for i in np.unique(a[a >= b]).tolist():
+            out[doc[i]].update(self._of(big[starts[i] : ends[i]]))
+        wide = np.unique(np.stack([a, b], 1)[a < b], axis=0).tolist()
+        if wide:
+            for i, found in self._around([tuple(x) for x in wide], starts, ends, big):
+                out[doc[i]].update(found)
+        return out
 
 
 @dataclass
 class Model:
     reader: Reader
-    weights: dict[int, float]
+    weights: np.ndarray
     bias: float
 
+    def scores(self, texts: list[str]) -> list[float]:
+        z = [self.bias + float(self.weights[list(x)].sum()) if x else self.bias for x in self.reader.features(texts)]
+        return [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in z]
+
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[s] for s in self.reader.features(text))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+        return self.scores([text])[0]
 
 
-def _learn(rows: list[tuple[bytes, int]], reader: Reader, told: set[str]) -> Model:
-    """rows: (slots as 32-bit numbers, label); told: the words and beginnings behind slots."""
+def _learn(rows: list[tuple[bytes, int]], reader: Reader) -> Model:
+    """rows: (feature numbers as 32-bit numbers, label)."""
     y = np.array([t for _, t in rows], float)
     base = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
-    if not len(y) or y.min() == y.max():
-        return Model(Reader(reader.characters, wanted=frozenset()), {}, base)
-    slots = [np.frombuffer(x, np.int32) for x, _ in rows]
-    flat, doc = np.concatenate(slots), np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    chosen, at = np.unique(flat, return_inverse=True)
+    if not len(y) or y.min() == y.max() or not reader.wanted:
+        return Model(Reader(reader.characters), np.zeros(0), base)
+    held = [np.frombuffer(x, np.int32) for x, _ in rows]
+    at, doc = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+    n = len(reader.wanted)
     # accelerated gradient steps, not scaled by feature: common features learn first, chance ones last
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    w, bias, ahead_w, ahead_bias = np.zeros(len(chosen)), base, np.zeros(len(chosen)), base
-    v = np.ones(len(chosen) + 1)
+    w, bias, ahead_w, ahead_bias = np.zeros(n), base, np.zeros(n), base
+    v = np.ones(n + 1)
     for _ in range(30):  # the curvature's largest value, for the longest safe step
         v /= np.linalg.norm(v)
         u = weight * (v[-1] + np.bincount(doc, v[at], minlength=len(y)))
-        v = np.r_[np.bincount(at, u[doc], minlength=len(chosen)), u.sum()] / len(y)
+        v = np.r_[np.bincount(at, u[doc], minlength=n), u.sum()] / len(y)
     rate = 1 / (0.3 * np.linalg.norm(v) + PENALTY)
     for step in range(STEPS):
         z = ahead_bias + np.bincount(doc, ahead_w[at], minlength=len(y))
         error = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        next_w = ahead_w - rate * (np.bincount(at, error[doc], minlength=len(w)) / len(y) + PENALTY * ahead_w)
+        next_w = ahead_w - rate * (np.bincount(at, error[doc], minlength=n) / len(y) + PENALTY * ahead_w)
         next_bias = ahead_bias - rate * error.mean()
         pace = step / (step + 3)
         ahead_w, ahead_bias = next_w + pace * (next_w - w), next_bias + pace * (next_bias - bias)
@@ -356,50 +424,51 @@ def _learn(rows: list[tuple[bytes, int]], reader: Reader, told: set[str]) -> Mod
         # The classes part. Toxic texts of the sample mostly hold several telling words,
         # one must do as well: a half lies a quarter of the gap above the clean ones.
         bias -= clean + (toxic - clean) / 4
-    used = {int(s): float(x) for s, x in zip(chosen, w) if abs(x) > 1e-3}
-    sought = frozenset(skeleton(x) for x in told if any(s in used for s in (_slots(x)[0], *(zlib.crc32(b"%d" % n + x.encode()) & ((1 << FEATURE_BITS) - 1) for n in PREFIXES))))
-    return Model(Reader(reader.characters, wanted=frozenset(used), sought=sought - {""}), used, float(bias))
+    return Model(reader, w, float(bias))
 
 
-def _slots_of(reader: Reader):
-    """(text, toxic) -> (slots, toxic, null) of every text, then (null, null, word) of the wanted words and beginnings found."""
+def _written(reader: Reader):
+    """(text, toxic) -> (words, toxic)."""
 
     def run(batches):
-        reader.told = set()
         for batch in batches:
-            texts, toxic = batch.columns
-            rows = [np.array(sorted(reader.features(t.as_py())), np.int32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), toxic, pa.nulls(len(rows), pa.string())], names=["slots", "toxic", "word"])
-        told, reader.told = sorted(reader.told), None
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(told), pa.binary()), pa.nulls(len(told), pa.int32()), pa.array(told, pa.string())], names=["slots", "toxic", "word"])
+            words = [[w for w in sorted(reader.written(t.as_py())) if len(skeleton(w)) >= SHORTEST] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     return run
 
 
-def _slot_counts(reader: Reader):
-    """(text, toxic) -> (slot, texts that have it, toxic ones)."""
+def _held(reader: Reader):
+    """(text, toxic) -> (feature numbers, toxic)."""
 
     def run(batches):
-        every, bad = (np.zeros(1 << FEATURE_BITS, np.int32) for _ in range(2))
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                slots = np.fromiter(reader.features(text.as_py()), np.int64)
-                every[slots] += 1
-                if toxic:
-                    bad[slots] += 1
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(every[at], pa.int64()), pa.array(bad[at], pa.int64())], names=["slot", "n", "toxic"])
+            for a, b in slices(batch.column(0), READ_BYTES):
+                rows = [np.array(sorted(x), np.int32).tobytes() for x in reader.features(batch.column(0).slice(a, b - a).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(a, b - a)], names=["held", "toxic"])
 
     return run
 
 
-def _tellings(sample: DataFrame, reader: Reader) -> frozenset[int]:
-    """The MOST_FEATURES slots that tell toxic texts best: frequent among them, rare among others."""
-    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    counts = sample.mapInArrow(tidied(_slot_counts(reader)), "slot int, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    odds = (F.col("toxic") + 0.5) / (size["toxic"] + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (size["n"] - size["toxic"] + 1))
-    best = counts.where(F.col("toxic") >= 2).withColumn("gain", F.col("toxic") * F.log(odds)).where("gain > 0").orderBy(F.desc("gain"), "slot").limit(MOST_FEATURES)
-    return frozenset(r["slot"] for r in best.select("slot").collect())
+def _telling(words: DataFrame) -> dict[str, int]:
+    """words: (words, toxic). At most MOST_FEATURES features, numbered: those in toxic texts mostly,
+    so much more than the share of all that, by the Chernoff bound, chance among as many doesn't give it."""
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    share = size["toxic"] / max(size["n"], 1)
+    if not 0 < share < 1:
+        return {}
+    word = words.select(F.explode("words").alias("w"), "toxic").groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    # a text with two words of one beginning counts for it twice
+    begun = F.filter(F.array(*[F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in PREFIXES]), lambda x: x.isNotNull())
+    rows = word.select(F.explode(F.concat(F.array("w"), begun)).alias("name"), "n", "toxic").groupBy("name").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    p = F.col("toxic") / F.col("n")
+    gain = F.col("n") * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    rows = common.materialise(rows.where(F.col("toxic") >= 2).where((p > share) & (p >= TELLING)).select("name", gain.alias("gain")), "features")
+    enough = math.log(max(rows.count(), 1)) + DOUBT
+    best = rows.where(F.col("gain") >= enough).orderBy(F.desc("gain"), "name").limit(MOST_FEATURES).select("name").collect()
+    common.discard(rows)
+    found = sorted(r["name"] for r in best)
+    return {x: i for i, x in enumerate(x for x in found if len(skeleton(x.rstrip("*"))) >= SHORTEST)}
 
 
 def held_out(id_column: str = "doc_id"):
@@ -413,10 +482,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     # at most most_labelled rows of two numbers
     sample = common.materialise(common.keyed(docs).join(F.broadcast(some), "id").select("text", "toxic"), "labelled")
-    reader = Reader(reader.characters, wanted=_tellings(sample, reader))
-    rows = sample.mapInArrow(tidied(_slots_of(reader)), "slots binary, toxic int, word string").collect()
-    common.discard(sample)
-    return _learn(sorted((bytes(r["slots"]), r["toxic"]) for r in rows if r["word"] is None), reader, {r["word"] for r in rows if r["word"] is not None})
+    words = common.materialise(sample.mapInArrow(tidied(_written(reader)), "words array<string>, toxic int"), "words")
+    reader = Reader(reader.characters, _telling(words))
+    rows = sample.mapInArrow(tidied(_held(reader)), "held binary, toxic int").collect()
+    common.discard(sample, words)
+    return _learn(sorted((bytes(r["held"]), r["toxic"]) for r in rows), reader)
 
 
 def scorer(model: Model):
@@ -425,7 +495,8 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: model.score(t or ""))
+            some = pa.array([t or "" for t in texts], pa.large_string())
+            yield pd.Series([x for a, b in slices(some, READ_BYTES) for x in model.scores(some.slice(a, b - a).to_pylist())], dtype=float)
         model.reader.forget()
         tidy()
 
