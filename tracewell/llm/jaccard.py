@@ -6,18 +6,22 @@ more leaves room for k differing elements at most. The domain of elements is cut
 into n1 parts, each into three; k differences leave some part with one at most,
 so two of its three pieces are equal: every pair of pieces (subset of the
 partition) is a signature, and alike sets share one. n1 is larger than needed by
-a margin, so that sets with few empty pieces need no signature for empty ones.
-
-Plan: (1) one scan gives each document its size, its set's hash (its node; equal
-sets are one node) and a histogram of its elements. (2) A second scan makes the
-signatures of a few thousand documents at a time; packed, they meet in the
-bucket of their hash, which names signatures of two nodes or more. (3) Each
-node is compared in full with the least node under each of its signatures;
-links give components. (4) Signatures whose nodes are still in several
-components: pairs across components whose histograms don't rule them out are
-compared too, in two rounds each node's nearest only, which joins what can be
-joined, then all that are left. So every link between different sets has either been tested or
-joins what is joined already, and groups of copies cost a star, not all pairs.
+a margin, so that a set leaves out signatures of few elements, as far as they are
+of no more parts than that: equal ones are of equal size, so one is left that both keep.
+
+Plan: (1) one scan gives each document its size and its set's hash (its node; equal
+sets are one node). (2) A second scan makes the signatures of a few thousand
+documents at a time; packed, they meet in the bucket of their hash, which names
+signatures of two nodes or more. (3) Each node is compared in full with the
+least node under each of its signatures; links give components, so groups of
+copies cost a star, not all pairs. (4) Signatures whose nodes are still in several
+components stay open. Their nodes meet with histograms of their sets; pairs that these
+don't rule out connect nodes to families, and each meeting hands on no more pairs than
+connect what it holds. (5) A family meets with its sets: all pairs of different
+components are compared by counting shared elements, in dense products for elements
+that many hold, in sums for the others. It hands on only links that join components,
+fewer than it has nodes. Large meetings are cut in blocks that meet two by two.
+So every link between different sets has either been tested or joins what is joined.
 
 Sets are compared by 64-bit hashes of their elements.
 
@@ -25,6 +29,7 @@ Defined cases: null or blank text: an empty set, linked with nothing. Fewer word
 than n: the whole sequence is the one element. Null doc_id: its own document;
 component_id is null if it is the least of its group (null orders first).
 Repeated rows: each is returned. Empty table: no rows. Other columns are not read.
+Sets may be of any size that fits a task.
 """
 
 from __future__ import annotations
@@ -43,9 +48,18 @@ CHUNK_BYTES = 4_000_000
 SLICE_BYTES = 1_500_000
 BUCKET_SIGNATURES = 1_000_000
 CELLS = 128
-#: Members of one signature that meet at once in step 4; of one centre in step 3.
+#: Nodes of a block in step 4.
 BLOCK = 1500
-_SIZES = 1 << 24
+#: Nodes beside one copy of their centre's set in step 3.
+AROUND = 250
+#: Nodes of a block in step 5, and their elements.
+FAMILY = 10_000
+FAMILY_ELEMENTS = 2_000_000
+#: Columns of a dense product, sums, and pairs counted at once.
+COLUMNS = 1000
+SUMS = 2_000_000
+PAIRS = 8_000_000
+_SIZES = 1 << 40
 
 
 class Plan:
@@ -53,7 +67,7 @@ class Plan:
 
     def __init__(self, percent: int, most: int = _SIZES):
         self.percent, ends, low = percent, [], 1
-        while low <= most:
+        while low <= max(most, 1):
             ends.append(low * 100 // percent)
             low = ends[-1] + 1
         self.ends = np.array(ends)
@@ -114,11 +128,13 @@ def signatures(h: np.ndarray, counts: np.ndarray, plan: Plan) -> tuple[np.ndarra
         sums = sums.reshape(-1, 3)
         doc = np.repeat(np.arange(len(counts)), n1)
         name = mix((band[doc].astype(np.uint64) << np.uint64(40)) | (np.arange(total) - base[doc]).astype(np.uint64) << np.uint64(2))
-        bare = np.stack([sizes[:, a] + sizes[:, b] == 0 for a, b in _SUBSETS], 1)
-        bare[exact[doc], :] = [False, False, False]
-        needs_bare = np.bincount(doc[bare.any(1)], minlength=len(counts)) > plan.margin[band]
+        held = np.stack([sizes[:, a] + sizes[:, b] for a, b in _SUBSETS], 1)
+        least = np.zeros(len(counts), np.int64)  # elements of a signature; what few parts would lose goes
+        for t in (1, 2, 3):
+            least += np.bincount(doc[held.min(1) < t], minlength=len(counts)) <= plan.margin[band]
+        least[exact] = 0
         for j, (a, b) in enumerate(_SUBSETS):
-            keep = ~bare[:, j] | needs_bare[doc]
+            keep = held[:, j] >= least[doc]
             if j:
                 keep &= ~exact[doc]
             out.append(mix((sums[keep, a] + sums[keep, b]) ^ (name[keep] + np.uint64(j))))
@@ -137,20 +153,26 @@ def _sign(n: int, lower: bool, plan: Plan, buckets: int):
             if not first.any():
                 continue
             h, counts, nodes = h[np.repeat(first, counts)], counts[first], nodes[first]
-            order = np.argsort(nodes.view(np.uint64))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            table = blobs.pack_rising(nodes.view(np.uint64)[order])
             s, whose = signatures(h, counts, plan)
-            by = np.argsort(s)
-            s, whose = s[by], place[whose[by]]
-            cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(k, table, blobs.pack_rising(s[i:j]), blobs.pack(whose[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "signatures", "whose"])
+            yield _dealt(s, whose, nodes, buckets)
 
     return run
 
 
+def _dealt(s: np.ndarray, whose: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that any signature falls in: its signatures, their nodes, and whose each is."""
+    by = np.argsort(s)
+    s, whose = s[by], whose[by]
+    bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(s) else []
+    rows = []
+    for i, j in zip(cut, np.r_[cut[1:], len(s)].astype(np.int64) if len(s) else []):
+        table, at = np.unique(nodes.view(np.uint64)[whose[i:j]], return_inverse=True)
+        rows.append((int(bucket[i]), blobs.pack_rising(table), blobs.pack_rising(s[i:j]), blobs.pack(at)))
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["bucket", "nodes", "signatures", "whose"])
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """A bucket's signatures that several nodes have: (signature, node, the least such node)."""
     s, v = [], []
@@ -180,7 +202,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _set_of(n: int, lower: bool):
-    """(node, text) -> (node, packed set), where the text's set is that node's."""
+    """(node, text) -> (node, size, packed set), where the text's set is that node's."""
 
     def run(batches):
         for batch in batches:
@@ -188,9 +210,9 @@ def _set_of(n: int, lower: bool):
             for a, b in slices(texts, SLICE_BYTES):
                 h, counts = _sets(texts.slice(a, b - a), n, lower)
                 want, to = node.slice(a, b - a).to_numpy(), np.cumsum(counts)
-                rows = [(w, blobs.pack_rising(h[e - c : e])) for w, e, c, ok in zip(want.tolist(), to, counts, _nodes(h, counts) == want) if ok]
+                rows = [(w, int(c), blobs.pack_rising(h[e - c : e])) for w, e, c, ok in zip(want.tolist(), to, counts, _nodes(h, counts) == want) if ok]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["node", "elements"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["node", "n", "elements"])
 
     return run
 
@@ -217,8 +239,9 @@ def _compare(percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs: (u, v) nodes. Those that are alike. u's set is sent once for every BLOCK pairs of it."""
-    shares = pairs.groupBy("u").count().select("u", F.expr(f"int(1 + count div {BLOCK})").alias("shares"))
+    """pairs: (u, v) nodes. Those that are alike. u's set is sent once for every AROUND pairs of it."""
+    sets = sets.select("node", "elements")
+    shares = pairs.groupBy("u").count().select("u", F.expr(f"int(1 + count div {AROUND})").alias("shares"))
     others = common.join_apart(pairs, shares, ["u"]).select("u", F.expr("pmod(xxhash64(v), shares)").alias("share"), "v").join(sets.withColumnRenamed("node", "v"), "v")
     centres = shares.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.expr("sequence(0L, shares - 1L)")).alias("share"), F.lit(None).cast("long").alias("v"), "elements")
     rows = centres.unionByName(others.select("u", "share", "v", "elements"))
@@ -226,108 +249,195 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "v", "elements").mapInArrow(tidied(_compare(percent)), "u long, v long")
 
 
-def _across(percent: int, nearest: bool):
-    """Rows (key of a meeting, side, node, component, n, cells), sorted by key ->
-    pairs of nodes of different components that histograms don't rule out: all,
-    or for each node its nearest only.
+def connecting(side, node, component, n, cells, percent: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that connect all those of different components that histograms don't rule out.
 
     Two histograms differ by no more than their sets do."""
-
-    def meet(side, node, component, n, cells):
-        order = np.argsort(n, kind="stable")
-        side, node, component, n, cells = (x[order] for x in (side, node, component, n, cells))
-        least, best = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
-        for i in range(len(node) - 1):
-            j = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
-            k = np.flatnonzero((component[j] != component[i]) & ((side[j] != side[i]) | (side[i] == 2))) + i + 1
-            if not len(k):
-                continue
+    order = np.argsort(n, kind="stable")
+    side, node, component, n, cells = (x[order] for x in (side, node, component, n, cells))
+    root, out = np.arange(len(node)), []
+    for i in range(len(node) - 1):
+        j = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
+        k = np.flatnonzero((component[j] != component[i]) & (root[j] != root[i]) & ((side[j] != side[i]) | (side[i] == 2))) + i + 1
+        if len(k):
             apart = np.abs(cells[k].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
-            ok = apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)
-            k, apart = k[ok], apart[ok]
-            if not nearest:
-                for x in node[k].tolist():
-                    yield (min(x, int(node[i])), max(x, int(node[i])))
-            elif len(k):
-                closer = apart < least[k]
-                least[k[closer]], best[k[closer]] = apart[closer], i
-                m = int(np.argmin(apart))
-                if apart[m] < least[i]:
-                    least[i], best[i] = apart[m], k[m]
-        for i in np.flatnonzero(best >= 0).tolist():
-            x, y = int(node[i]), int(node[best[i]])
-            yield (min(x, y), max(x, y))
+            k = k[apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)]
+        while len(k):
+            out.append((int(node[i]), int(node[k[0]])))
+            root[root == root[k[0]]] = root[i]
+            k = k[root[k] != root[i]]
+    return out
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]):
+    """(number of a first set of left, how many elements it and those behind it share with each of right), some
+    sets at a time. right may be left itself; a set's count with itself is of no use.
+
+    An element that c sets hold costs c sums for each, or one column of a product: whichever is less."""
+    sets = left if right is left else left + right
+    beside = len(sets) - len(right)
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[start, len(h)])
+    del h, order
+    dense = size > max(8, len(sets) // 12)
+    column, of_dense = np.repeat(np.arange(len(size)), size), np.cumsum(dense) - 1
+    # entries by set: in columns of few sets, in those of many
+    few, many = (np.flatnonzero(x[column]) for x in (~dense & (size > 1), dense))
+    few = few[np.argsort(owner[few], kind="stable")]
+    few_to, n_dense = np.searchsorted(owner[few], np.arange(len(left) + 1)), int(dense.sum())
+    step = max(1, PAIRS // len(right))
+    for a in range(0, len(left), step):
+        b = min(a + step, len(left))
+        out = np.zeros((b - a, len(right)), kind)
+        for c in range(0, n_dense, COLUMNS):
+            at = many[(of_dense[column[many]] >= c) & (of_dense[column[many]] < c + COLUMNS)]
+            m = np.zeros((len(sets), min(COLUMNS, n_dense - c)), kind)
+            m[owner[at], of_dense[column[at]] - c] = 1
+            out += m[a:b] @ m[beside:].T
+        at = few[few_to[a] : few_to[b]]
+        to = np.cumsum(size[column[at]])
+        c = 0
+        while c < len(at):
+            d = max(c + 1, int(np.searchsorted(to, (to[c - 1] if c else 0) + SUMS, "right")))
+            n = size[column[at[c:d]]]
+            x = np.repeat(owner[at[c:d]] - a, n)
+            y = owner[np.repeat(start[column[at[c:d]]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - beside
+            x, y = (x, y) if not beside else (x[y >= 0], y[y >= 0])
+            np.add.at(out.reshape(-1), x * len(right) + y, 1)
+            c = d
+        yield a, out
+
+
+def joining(left: list[np.ndarray], right: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (numbers of sets, left's before right's) that join components, no more than are needed for that."""
+    n = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    beside = 0 if right is left else len(left)
+    root, out = np.unique(component, return_inverse=True)[1], []
+    for first, both in shared_counts(left, right):
+        for i, row in enumerate(both, first):
+            js = np.flatnonzero(row) + beside
+            js = js[root[js] != root[i]]
+            js = js[row[js - beside].astype(np.int64) * (100 + percent) >= percent * (n[0][i] + n[1][js - beside])]
+            while len(js):
+                out.append((i, int(js[0])))
+                root[root == root[js[0]]] = root[i]
+                js = js[root[js] != root[i]]
+    return out
+
+
+def _connect(percent: int):
+    """Rows of one meeting (side, node, component, n, cells) -> pairs of nodes."""
+
+    def of(table: pa.Table) -> list[tuple[int, int]]:
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        return connecting(*(table.column(x).to_numpy() for x in ("side", "node", "component", "n")), cells, percent)
+
+    return of
+
+
+def _join(percent: int):
+    """Rows of one meeting (side, node, component, elements) -> links."""
+
+    def of(table: pa.Table) -> list[tuple[int, int]]:
+        side, node, component = (table.column(x).to_numpy() for x in ("side", "node", "component"))
+        sets = [blobs.unpack_rising(x) for x in table.column("elements").to_pylist()]
+        order = np.argsort(side, kind="stable")
+        sets, node, component, cut = [sets[i] for i in order.tolist()], node[order], component[order], int((side == 0).sum())
+        if side[0] == 2:
+            found = joining(sets, sets, component, percent)
+        else:
+            found = joining(sets[:cut], sets[cut:], component, percent) if 0 < cut < len(sets) else []
+        return [(int(node[i]), int(node[j])) for i, j in found]
+
+    return of
+
+
+def _by_meeting(what):
+    """Rows sorted by meeting -> what each meeting gives, as (u, v)."""
 
     def run(batches):
-        tail: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []  # of one meeting
         for batch in batches:
-            table = pa.Table.from_batches([*tail, batch]).combine_chunks()
+            table, found = pa.Table.from_batches([batch]), []
             key = table.column("meeting").to_numpy()
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if len(cut):
-                yield pairs(table.slice(0, cut[-1]), np.r_[0, cut])
-            tail = table.slice(cut[-1] if len(cut) else 0).to_batches()
-        if tail:
-            table = pa.Table.from_batches(tail)
-            yield pairs(table, np.array([0, len(table)]))
-
-    def pairs(table, cuts):
-        side, node, component, n = (table.column(x).to_numpy() for x in ("side", "node", "component", "n"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
-        found = {p for a, b in zip(cuts, cuts[1:]) for p in meet(side[a:b], node[a:b], component[a:b], n[a:b], cells[a:b])}
+            if held and len(key) and held[0].column("meeting")[0].as_py() != key[0]:
+                found += what(pa.concat_tables(held))
+                held = []
+            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist() if len(key) else []
+            for a, b in zip(cuts, cuts[1:]):
+                held.append(table.slice(a, b - a))
+                if b < len(key):
+                    found += what(pa.concat_tables(held))
+                    held = []
+            if found:
+                yield batch_of(set(found))
+        if held:
+            yield batch_of(what(pa.concat_tables(held)))
+
+    def batch_of(found):
         u, v = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs under one signature that are in different components so far."""
-    placed = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
-    about = profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
-    rows = common.join_apart(placed, open_.select("signature", F.expr(f"1 + members div {BLOCK}").alias("blocks")), ["signature"])
-    rows = common.join_apart(rows, about, ["node"])
+def _meetings(rows: DataFrame, *carried: str) -> DataFrame:
+    """rows: (key, blocks, node, ...). Each node's row once for every meeting of its block with another."""
     rows = rows.withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     rows = rows.select(
-        F.expr("xxhash64(signature, least(mine, other), greatest(mine, other))").alias("meeting"),
-        F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"),
-        "node", "component", "n", "cells",
+        F.expr("xxhash64(key, least(mine, other), greatest(mine, other))").alias("meeting"),
+        F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"), "node", *carried,
     )
-    rows = rows.repartition("meeting").sortWithinPartitions("meeting")
-    return rows.mapInArrow(tidied(_across(percent, nearest)), "u long, v long").distinct()
+    return rows.repartition("meeting").sortWithinPartitions("meeting")
+
+
+def _open_links(shared: DataFrame, labels: DataFrame, profiles: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between nodes that share a signature and are in different components so far,
+    enough to join what can be joined; and what was stored for that."""
+    placed = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
+    about = profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
+    rows = common.join_apart(placed, open_.select(F.col("signature"), F.expr(f"1 + members div {BLOCK}").alias("blocks")), ["signature"])
+    rows = common.join_apart(rows, about, ["node"]).withColumnRenamed("signature", "key")
+    met = _meetings(rows, "component", "n", "cells").mapInArrow(tidied(_by_meeting(_connect(percent))), "u long, v long")
+    pairs = common.materialise(met.distinct(), "families")
+    family = components(pairs)
+    nodes = common.join_apart(family.select("node", F.col("component").alias("key")), sets, ["node"]).join(labels, "node", "left")
+    nodes = nodes.select("key", "node", F.coalesce("component", "node").alias("component"), "n", "elements")
+    size = nodes.groupBy("key").agg(F.expr(f"1 + greatest(count(1) div {FAMILY}, sum(n) div {FAMILY_ELEMENTS})").alias("blocks"))
+    met = _meetings(common.join_apart(nodes, size, ["key"]), "component", "elements")
+    return met.mapInArrow(tidied(_by_meeting(_join(percent))), "u long, v long"), [pairs, family]
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(id, copy, n_shingles, component): one row per row of docs; component is a
     number that documents of one group share, null for empty sets."""
     base = common.numbered(docs)
-    plan = Plan(percent)
     profiles = common.materialise(base.mapInArrow(tidied(_profile(n, lower)), "id long, copy long, n long, node long, cells binary"), "profiles")
-    elements = profiles.agg(F.sum("n")).first()[0] or 0
+    size = profiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
+    plan = Plan(percent, size["most"])
     per_element = 3.6 * (100 - percent) / (100 + percent)
-    buckets = max(4, int(elements * per_element) // BUCKET_SIGNATURES)
+    buckets = max(4, int(size["all"] * per_element) // BUCKET_SIGNATURES)
     signed = base.select("text").mapInArrow(tidied(_sign(n, lower, plan, buckets)), "bucket int, nodes binary, signatures binary, whose binary")
     shared = common.materialise(signed.groupBy("bucket").applyInArrow(_shared, "signature long, node long, low long"), "signatures")
 
     stars = common.materialise(shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     wanted = shared.select("node").distinct()
     chosen = common.join_apart(profiles, wanted, ["node"]).groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x")).select("node", "x.id", "x.copy")
-    sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, elements binary")
+    sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, n long, elements binary")
     sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
     links = common.materialise(_verify(stars, sets, percent), "links")
     labels = components(links)
-    tested, used = stars, [shared, stars, sets, links]
-    for nearest in (True, True, False):
-        more = _open_pairs(shared, labels, profiles, percent, nearest).join(tested, ["u", "v"], "left_anti")
-        more = common.materialise(more, "pairs")
-        found = common.materialise(_verify(more, sets, percent), "links")
-        tested, used = tested.unionByName(more), [*used, more, found]
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            before, labels = labels, components(links)
-            common.discard(before)
-    common.discard(*used)
+    more, used = _open_links(shared, labels, profiles, sets, percent)
+    found = common.materialise(more, "links")
+    if found.limit(1).count():
+        before, labels = labels, components(links.unionByName(found))
+        common.discard(before)
+    common.discard(shared, stars, sets, links, found, *used)
     return profiles.select("id", "copy", "n", "node").join(labels, "node", "left").select("id", "copy", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
