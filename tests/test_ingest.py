@@ -7,7 +7,8 @@ import pytest
 
 from tracewell.operators import documents
 from tracewell.sources import files
-from tracewell.streaming.ingest import append_batches, once, stream_index, windowed_files
+from tracewell.sources.registry import new_files_table
+from tracewell.streaming.ingest import append_batches, counters, flush_windows, once, stream_index, windowed_files
 
 
 def test_messages(spark):
@@ -55,9 +56,10 @@ def test_lines_and_files(spark, tmp_path):
 def test_ranges(spark, tmp_path):
     files.write_bytes(spark, f"{tmp_path}/f.gz", gzip.compress(b"first") + b"broken")
     n = len(gzip.compress(b"first"))
-    ranges = spark.createDataFrame([("f.gz", 0, n), ("f.gz", n, 6), ("f.gz", n, 99), ("g", 0, 1), ("f.gz", -1, 2)], "name string, offset long, length long")
-    got = files.read_ranges(spark, str(tmp_path), ranges, unpack=True).collect()
-    assert {(r.name, r.offset, r.length, r.content and bytes(r.content), r.error) for r in got} == {
+    asked = [("f.gz", 0, n), ("f.gz", n, 6), ("f.gz", n, 99), ("g", 0, 1), ("f.gz", -1, 2)]
+    ranges = spark.createDataFrame([(f"file://{tmp_path}/{f}", a, b) for f, a, b in asked], "path string, offset long, length long")
+    got = files.read_ranges(ranges, unpack=True).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.offset, r.length, r.content and bytes(r.content), r.error) for r in got} == {
         ("f.gz", -1, 2, None, "range beyond the end"), ("f.gz", 0, n, b"first", None), ("f.gz", n, 6, None, None), ("f.gz", n, 99, None, "range beyond the end"), ("g", 0, 1, None, "no such file"),
     }
 
@@ -81,10 +83,10 @@ def test_stream_is_the_batch(spark, tmp_path):
 
 
 def test_windows_come_by_watermark(spark, tmp_path):
-    first, later = listed(spark, [(1, 0, 5), (1, 3, 5), (1, 20, 7)]), listed(spark, [(3, 0, 1), (1, 1, 50)])
+    first, later = listed(spark, [(1, 0, 5), (1, 3, 5), (1, 40, 7)]), listed(spark, [(3, 0, 1), (1, 1, 50)])
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(first.schema).json(str(tmp_path / "in"))
-    query = lambda: windowed_files(stream, 15, 10).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "mark")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query = lambda: windowed_files(stream, 15, 25).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "mark")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     for batch in (first, later):
         batch.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         query().awaitTermination()
@@ -108,3 +110,25 @@ def test_stream_index(spark, tmp_path):
     lines.repartition(2).write.parquet(str(tmp_path / "in"))
     stream_index(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark"), CONFIG).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == tokens(lines, CONFIG).count()
+
+
+def test_late_files_reach_a_further_output(spark, tmp_path):
+    batches = [[(1, 0, 5), (1, 3, 5), (1, 20, 7)], [(3, 0, 1)], [(1, 1, 50), (3, 1, 2)], [(5, 0, 1)]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("path string, size long, idc string").json(str(tmp_path / "in"))
+    for rows in batches:
+        listed(spark, rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        query = flush_windows(stream, str(tmp_path / "flushed"), str(tmp_path / "mark"), 15, 30)
+        query.awaitTermination()
+    assert counters(query)[0][1] == 1
+    got = sorted((r.batch, r.window.hour, r.window.minute, r.files, r.bytes) for r in spark.read.parquet(str(tmp_path / "flushed/out")).collect())
+    assert got == [(1, 1, 0, 2, 10), (1, 1, 15, 1, 7), (2, 1, 0, 1, 50), (3, 3, 0, 2, 3)]
+    with pytest.raises(ValueError):
+        flush_windows(stream, "", "", 15, 10)
+
+
+def test_checkpoint_after_every_file(spark):
+    files = spark.createDataFrame([("d", "a"), ("d", "b")], "dir string, name string")
+    assert new_files_table(files, "a").count() == 1
+    with pytest.raises(Exception, match="later than every file"):
+        new_files_table(files, "c").collect()

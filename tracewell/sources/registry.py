@@ -26,14 +26,15 @@ def new_files(names: list[str], last: str | None, hold_newest: bool = False) ->
 
 
 def new_files_table(files: DataFrame, last: str | None, hold_newest: bool = False) -> DataFrame:
-    """new_files() over a table (dir, name), for each directory."""
+    """new_files() over a table (dir, name), for each directory; its error comes when rows are read."""
     if hold_newest:
         newest = files.groupBy("dir").agg(F.max("name").alias("_newest"))
         files = files.join(newest, "dir").where("name < _newest").drop("_newest")
     if last is None:
         return files
-    known = files.groupBy("dir").agg(F.max(F.col("name") == last).alias("_known"))
-    return files.join(known, "dir").where(~F.col("_known") | (F.col("name") > last)).drop("_known")
+    known = files.groupBy("dir").agg(F.max(F.col("name") == last).alias("_known"), F.max("name").alias("_newest"))
+    late = F.when(F.col("_newest") < last, F.raise_error(F.concat(F.lit(f"the checkpoint {last} is later than every file of "), "dir")).cast("boolean"))
+    return files.join(known, "dir").where(F.coalesce(late, ~F.col("_known") | (F.col("name") > last))).drop("_known", "_newest")
 
 
 def queue(items: Iterator[str]) -> Callable[[], list[str]]:
