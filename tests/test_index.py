@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.config import IndexConfig, Step, steps
-from tracewell.engine import Engine
+from tracewell.engine import Engine, Engines
 from tracewell.operators import documents, fields, ids, index, kv, search
 from tracewell.operators.search import SearchRequest
 
@@ -193,8 +193,76 @@ def test_a_lookup_prunes(spark, tmp_path):
     postings = index.tokens(numbered(spark, LINES), CONFIG).select(F.lit("b").alias("business"), F.lit("2024-01-01").cast("date").alias("day"), "*")
     index.write(postings, str(tmp_path / "p"))
     stored = spark.read.parquet(str(tmp_path / "p")).where("business = 'b' and day = date'2024-01-01'")
-    plan = search.hits(stored, [("text", "the")], "day")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(token,the)" in plan and "(field#" in plan.split("PartitionFilters")[1]
-    plan = search.hits(stored, [("text", "the"), ("kind", "a")], "day")._jdf.queryExecution().executedPlan().toString()
-    assert "Or(EqualTo(token" in plan and "(field#" in plan.split("PartitionFilters")[1]
-    assert plan.count("Exchange") == 1
+
+    def filters(df):
+        scan = df._jdf.queryExecution().optimizedPlan().collectLeaves().head()
+        physical = df._jdf.queryExecution().sparkPlan().collectLeaves().head()
+        return physical.partitionFilters().mkString(" "), physical.dataFilters().mkString(" "), scan
+
+    partition, data, _ = filters(search.hits(stored, [("text", "the")], "day"))
+    assert "field" in partition and "token" in data
+    found = search.hits(stored, [("text", "the"), ("kind", "a")], "day")
+    partition, data, _ = filters(found)
+    assert "field" in partition and "OR" in partition and "token" in data
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_hot_token_is_several_files(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit("text").alias("field"), F.when(F.col("id") % 8 == 0, F.concat(F.lit("w"), "id")).otherwise("the").alias("token"), F.col("id").alias("doc_id"), F.lit(0).alias("row_index"))
+    index.write(rows, str(tmp_path / "p"), 6)
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert stored.where("token = 'the'").select(F.input_file_name()).distinct().count() >= 3
+    assert stored.count() == 4000
+
+
+def test_engine_by_batch(spark, tmp_path):
+    day, frame = "2024-01-01", lambda *rows: spark.createDataFrame(rows, "file_id long, text string")
+    engine = Engine(spark, IndexConfig("b", "TAB", ("text",), {"text": WORDS}, lines_per_doc=2), str(tmp_path))
+    pv = lambda: {r.token: r.pv for r in engine.stats().collect()}
+    assert engine.ingest(frame((1, "the cat\nthe dog\nthe end")), day, "one") == 2
+    engine.build_index(day)
+    assert engine.ingest(frame((1, "the cat\nthe dog\nthe end")), day, "one") == 2  # again
+    engine.build_index(day)
+    assert pv()["the"] == 3
+    assert engine.ingest(frame((9, "the fox"), (10, None)), day, "two") == 3
+    engine.build_index(day)
+    engine.build_index(day, again=True)
+    assert pv()["the"] == 4 and pv()["fox"] == 1
+    with pytest.raises(ValueError, match="batch"):
+        engine.ingest(frame((1, "one line")), day, "one")
+    counts, page = engine.search(SearchRequest("b", {"text": "The"}, (day,)))
+    assert sorted((r.doc_id, r.line) for r in page.collect()) == [(0, "the cat"), (0, "the dog"), (1, "the end"), (2, "the fox")]
+    assert [(r.total, r.pv) for r in counts.collect()] == [(4, 4)]
+    for words in ("the\t--", "the\tnone", "--"):
+        counts, page = engine.search(SearchRequest("b", {"text": words}, (day,)))
+        assert counts.count() == page.count() == 0
+    assert engine.shards(day).agg(F.sum("length")).first()[0] > 0
+    engines = Engines(engine)
+    assert engines.search(SearchRequest("b", {"text": "fox"}, (day,)))[1].count() == 1
+    with pytest.raises(KeyError):
+        engines.search(SearchRequest("c", {"text": "fox"}, (day,)))
+
+
+def test_terms_keep_their_case(spark, tmp_path):
+    engine = Engine(spark, IndexConfig("b", "TAB", ("u",), {"u": (Step("urlencode"),)}), str(tmp_path))
+    engine.ingest(spark.createDataFrame([(1, "É")], "file_id long, text string"), "2024-01-01")
+    engine.build_index("2024-01-01")
+    assert engine.search(SearchRequest("b", {"u": "É"}, ("2024-01-01",)))[1].first().line == "É"
+
+
+def test_more_terms_than_bits(spark):
+    rows = spark.createDataFrame([(1, 0, "f", f"w{i}") for i in range(130)] + [(2, 0, "f", f"w{i}") for i in range(129)], "doc_id long, row_index int, field string, token string")
+    wanted = [("f", f"w{i}") for i in range(130)]
+    assert [r.doc_id for r in search.hits(rows, wanted).collect()] == [1]
+
+
+def test_dumps_are_read_row_by_row(spark):
+    rows = spark.createDataFrame([("t\tf\t1,0;2,1\t2",), ("t\tf\t10,0;5,0\t2",), ("short\tf",)], "value string")
+    assert sorted([(p.doc_id, p.row_index) for p in r.postings] for r in index.parse_text_rows(rows).collect()) == [[(1, 0), (3, 1)], [(10, 0), (15, 0)]]
+
+
+def test_filter_files_of_the_configuration(spark):
+    text = '{"common": {"business": "b"}, "inverted_index": {"data_format": "TAB", "field_names": ["t"], "tokenizer": {"t": [{"split": " "}, {"tokenfilter": "stop.txt"}]}}}'
+    config = IndexConfig.from_json(text, filters={"stop.txt": ["the"]})
+    assert config.token_filters == {"t": ("the",)}
+    assert [r.token for r in index.tokens(numbered(spark, ["the cat"]), config).collect()] == ["cat"]

@@ -51,8 +51,10 @@ class IndexConfig:
         return self.alias.get(name, name)
 
     @classmethod
-    def from_json(cls, text: str, macros: dict[str, str] | None = None) -> IndexConfig:
-        """Reads the JSON form; trailing commas are allowed, ``{name}`` of macros replaced once."""
+    def from_json(cls, text: str, macros: dict[str, str] | None = None, filters: dict[str, list[str]] | None = None) -> IndexConfig:
+        """Reads the JSON form; trailing commas are allowed, ``{name}`` of macros replaced once.
+
+        filters: the tokens of each token filter file, by the name that a tokenfilter step gives."""
         for name, value in (macros or {}).items():
             text = text.replace("{" + name + "}", value, 1)
         found = json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
@@ -69,10 +71,17 @@ class IndexConfig:
             field_names=tuple(index.get("field_names", ())),
             tokenizers={k: steps(v) for k, v in index.get("tokenizer", {}).items()},
             alias=dict(index.get("alias", {})),
+            token_filters={f: tuple(t for x in names for t in (filters or {}).get(x, ())) for f, names in filter_files(index.get("tokenizer", {})).items()},
             **{k: int(v) for k, v in optional.items() if v},
         )
 
 
+def filter_files(chains: dict[str, Any]) -> dict[str, list[str]]:
+    """The files that each field's tokenfilter steps name."""
+    found = {f: [s.param for s in steps(c) if s.name == "tokenfilter" and s.param] for f, c in chains.items()}
+    return {f: x for f, x in found.items() if x}
+
+
 def steps(chain: Any) -> tuple[Step, ...]:
     """A chain as configured: a name, or a list of names and {name: parameter}."""
     out = []

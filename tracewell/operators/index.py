@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import IndexConfig, Step
+from tracewell.functions.hashing import file_number, shard_id, token_hash
 from tracewell.functions.tokenizers import Tokenizer, block_list, chain
+from tracewell.operators.documents import gzip_member
 from tracewell.operators.fields import values
 
 KEYS = ("day", "field", "token")
@@ -103,15 +105,18 @@ def parse_text_rows(rows: DataFrame) -> DataFrame:
     postings); rows of fewer than four columns are dropped."""
     parts = F.split("value", "\t")
     from_end = lambda i: F.try_element_at(parts, F.lit(-i))
-    pairs = F.transform(F.split(from_end(2), ";"), lambda p: F.split(p, ","))
-    rows = rows.where(F.size(parts) >= 4).select(
-        from_end(3).alias("field"), F.array_join(F.slice(parts, 1, F.size(parts) - 3), "\t").alias("token"), from_end(1).cast("long").alias("pv"), pairs.alias("pairs")
-    )
-    pick = F.posexplode("pairs").alias("position", "pair")
-    flat = rows.select("field", "token", "pv", pick).select("field", "token", "pv", "position", F.get("pair", F.lit(0)).cast("long").alias("delta"), F.get("pair", F.lit(1)).cast("int").alias("row_index"))
-    w = Window.partitionBy("field", "token").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    decoded = flat.withColumn("doc_id", F.sum("delta").over(w).cast("long"))
-    return decoded.groupBy("field", "token", "pv").agg(F.sort_array(F.collect_list(F.struct("doc_id", "row_index"))).alias("postings"))
+    steps = F.transform(F.split(from_end(2), ";"), lambda p: F.split(p, ","))
+    # the running sum of the row's own differences
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<doc_id:bigint,row_index:int>>").alias("postings"))
+
+    def further(done, pair):
+        at = done["at"] + F.get(pair, F.lit(0)).cast("long")
+        return F.struct(at.alias("at"), F.concat(done["postings"], F.array(F.struct(at.alias("doc_id"), F.get(pair, F.lit(1)).cast("int").alias("row_index")))).alias("postings"))
+
+    return rows.where(F.size(parts) >= 4).select(
+        from_end(3).alias("field"), F.array_join(F.slice(parts, 1, F.size(parts) - 3), "\t").alias("token"), from_end(1).cast("long").alias("pv"),
+        F.sort_array(F.aggregate(steps, start, further, lambda x: x["postings"])).alias("postings"),
+    )
 
 
 def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -124,16 +129,29 @@ def merge_stats(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def write(postings: DataFrame, path: str, partitions: int | None = None, mode: str = "append") -> None:
-    """Stores postings by business, day and field, each file sorted by token, so that a
-    term's lookup reads few row groups; tokens get Bloom filters."""
-    by = [c for c in ("business", "day", "field") if c in postings.columns]
-    dealt = postings.repartition(partitions, *by, "token") if partitions else postings.repartition(*by, "token")
+    """Stores postings by business, day, batch and field, each file sorted by token, so that a
+    term's lookup reads few row groups; tokens get Bloom filters. Files are ranges of
+    (token, doc_id), so a hot token's postings are several files. Overwriting replaces partitions that rows are of."""
+    by = [c for c in ("business", "day", "batch", "field") if c in postings.columns]
+    order = [*by, "token", "doc_id", "row_index"]
+    dealt = postings.repartitionByRange(partitions, *order) if partitions else postings.repartitionByRange(*order)
     (
-        dealt.sortWithinPartitions(*by, "token", "doc_id", "row_index")
-        .write.mode(mode).partitionBy(*by).option("parquet.bloom.filter.enabled#token", "true").parquet(path)
+        dealt.sortWithinPartitions(*order)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).option("parquet.bloom.filter.enabled#token", "true").parquet(path)
     )
 
 
+def shard_blobs(postings: DataFrame, width: int = 200, files: int = 1000) -> DataFrame:
+    """(field, file, shard, offset, length, blob): each shard's tokens with their postings as text, gzipped.
+
+    A token's list is one cell, which the posting cap bounds."""
+    rows = posting_lists(postings, "field", "token").withColumn("shard", shard_id(token_hash(F.col("token")), width))
+    text = rows.select("field", "shard", F.struct("token", text_row(F.col("token"), F.col("field"), F.col("postings"), F.col("pv")).alias("row")).alias("r"))
+    whole = text.groupBy("field", "shard").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), "\n").alias("text"))
+    blobs = whole.select("field", file_number(F.col("shard"), files).alias("file"), "shard", gzip_member("text").alias("blob")).withColumn("length", F.octet_length("blob").cast("long"))
+    return shard_offsets(blobs)
+
+
 def shard_offsets(shards: DataFrame) -> DataFrame:
     """shards: (field, file, shard, length). Adds offset, the lengths before it in its file."""
     w = Window.partitionBy("field", "file").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

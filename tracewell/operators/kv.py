@@ -16,8 +16,8 @@ def get(store: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """The last value of each key by seq; one sum-like aggregate, no sort."""
-    last = F.max_by(F.struct("value", "seq"), "seq").alias("x")
+    """The last value of each key by seq, of equals the greatest; one sum-like aggregate, no sort."""
+    last = F.max_by(F.struct("value", "seq"), F.struct("seq", "value")).alias("x")
     return store.select("key", "value", "seq").unionByName(changes.select("key", "value", "seq")).groupBy("key").agg(last).select("key", "x.value", "x.seq")
 
 

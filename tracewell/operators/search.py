@@ -17,6 +17,7 @@ LOG_ID = "doc_id * 1000000 + row_index"
 #: A page is sent to all tasks up to so many rows; beyond that it is joined by shuffle.
 MOST_BROADCAST = 100_000
 MOST_TERMS = 62
+FAR_HOTTER = 8
 
 
 @dataclass(frozen=True)
@@ -76,8 +77,9 @@ def hits(postings: DataFrame, wanted: list[tuple[str, str]], *keys: str) -> Data
     One pass: the terms' filter reaches the scan, each posting sets its term's bit,
     and partial sums of bits meet once."""
     wanted = sorted(set(wanted))
-    if len(wanted) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
+    if len(wanted) > MOST_TERMS:  # a long has so many bits; what some of the terms leave is narrowed by others
+        some = [hits(postings, wanted[i : i + MOST_TERMS], *keys) for i in range(0, len(wanted), MOST_TERMS)]
+        return reduce(lambda a, b: a.join(b, [*keys, "doc_id", "row_index"], "left_semi"), some)
     is_term = [(F.col("field") == f) & (F.col("token") == t) for f, t in wanted]
     if not wanted:
         return postings.select(*keys, "doc_id", "row_index").limit(0)
@@ -88,10 +90,27 @@ def hits(postings: DataFrame, wanted: list[tuple[str, str]], *keys: str) -> Data
     return rows.groupBy(*keys, "doc_id", "row_index").agg(F.bit_or(bits).alias("bits")).where(F.col("bits") == (1 << len(wanted)) - 1).drop("bits")
 
 
-def hits_by_rarest(postings: DataFrame, stats: DataFrame, wanted: list[tuple[str, str]], *keys: str) -> DataFrame:
+def term_counts(stats: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """Hits of each term, a row each."""
+    rows = stats.where(reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("token") == t) for f, t in wanted]))
+    return {(r["field"], r["token"]): r["pv"] for r in rows.groupBy("field", "token").agg(F.sum("pv").alias("pv")).collect()}
+
+
+def best_hits(postings: DataFrame, stats: DataFrame, wanted: list[tuple[str, str]], *keys: str) -> DataFrame:
+    """hits(), from the rarest term on where another is FAR_HOTTER; none where a term has no hit at all."""
+    if len(set(wanted)) < 2:
+        return hits(postings, wanted, *keys)
+    counts = term_counts(stats, wanted)
+    found = [counts.get(x, 0) for x in set(wanted)]
+    if not min(found):
+        return hits(postings, [], *keys)
+    return hits_by_rarest(postings, stats, wanted, *keys, counts=counts) if max(found) >= FAR_HOTTER * min(found) else hits(postings, wanted, *keys)
+
+
+def hits_by_rarest(postings: DataFrame, stats: DataFrame, wanted: list[tuple[str, str]], *keys: str, counts: dict | None = None) -> DataFrame:
     """hits() for a hot term beside a rare one: semi-joins from the rarest term on, so
     the hot term's postings are only probed."""
-    counts = {(r["field"], r["token"]): r["pv"] for r in stats.where(reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("token") == t) for f, t in wanted])).groupBy("field", "token").agg(F.sum("pv").alias("pv")).collect()}
+    counts = counts or term_counts(stats, wanted)
     each = [postings.where((F.col("field") == f) & (F.col("token") == t)).select(*keys, "doc_id", "row_index").distinct() for f, t in sorted(set(wanted), key=lambda x: (counts.get(x, 0), x))]
     return reduce(lambda a, b: a.join(b, [*keys, "doc_id", "row_index"], "left_semi"), each)
 
@@ -128,11 +147,12 @@ def fetch(rows: DataFrame, lines: DataFrame, most: int, *keys: str) -> DataFrame
     return rows.join(there, on, "left")
 
 
-def search(postings: DataFrame, stats: DataFrame, lines: DataFrame, request: SearchRequest) -> tuple[DataFrame, DataFrame | None]:
+def search(postings: DataFrame, stats: DataFrame, lines: DataFrame, request: SearchRequest, wanted: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(totals by day, the page's lines by day, or None if only counts are wanted).
 
+    wanted: the terms, if they are known as they are indexed; else the request's, in lower case.
     A filter is a predicate over line; it is applied before paging."""
-    wanted, keys = terms(request.keywords), ("day",)
+    wanted, keys = terms(request.keywords) if wanted is None else wanted, ("day",)
 
     def of(df: DataFrame) -> DataFrame:
         if "business" in df.columns:
@@ -140,7 +160,7 @@ def search(postings: DataFrame, stats: DataFrame, lines: DataFrame, request: Sea
         return df.where(F.col("day").isin(*request.days)) if request.days else df
 
     postings, stats, lines = of(postings), of(stats), of(lines)
-    found = hits(postings, wanted, *keys)
+    found = best_hits(postings, stats, wanted, *keys)
     counts = totals(found, stats, wanted, *keys)
     if request.pv_only:
         return counts, None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import IndexConfig, Step
 from tracewell.operators import documents, index
+from tracewell.session import scratch
 
 LINES_PER_DOC = 16
 WORDS = (Step("split", "[^0-9A-Za-z]+"), Step("keyword"))
@@ -26,13 +27,15 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = document_lines(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("n_lines"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    counts = documents.line_counts(docs, "file_id", "text")
     return documents.number_documents(counts, "file_id", LINES_PER_DOC, F.expr("file_id div 4096"))
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, n, line, doc_id, row_index)."""
-    return documents.number_lines(document_lines(spark, sf_dir), document_files(spark, sf_dir), "file_id", LINES_PER_DOC)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    return documents.numbered_lines(docs, document_files(spark, sf_dir), "file_id", "text", LINES_PER_DOC)
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +43,29 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.tokens(numbered_lines(spark, sf_dir).select("doc_id", "row_index", "line"), DOCUMENTS)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index and lines of all documents are stored; made once for an application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        folder = scratch(spark, "index")
+        index.write(document_postings(spark, sf_dir), f"{folder}/postings")
+        lines = numbered_lines(spark, sf_dir).select("doc_id", "row_index", "line")
+        lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "row_index").write.parquet(f"{folder}/lines")
+        _stored[key] = folder
+    return _stored[key]
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("doc_id long, row_index int, field string, token string").parquet(f"{_stored_index(spark, sf_dir)}/postings")
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_stored_index(spark, sf_dir)}/lines")
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, doc_id, row_index, line): tab-separated events, 128 to a document."""
     events = table(spark, sf_dir, "events")

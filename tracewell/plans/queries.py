@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import base64
-import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.config import IndexConfig, Step
+from tracewell.engine import Engine
 from tracewell.functions import hashing, text
 from tracewell.functions.tokenizers import chain
 from tracewell.operators import documents, ids, index, kv, search
 from tracewell.operators.fields import json_value, kv_pairs
+from tracewell.operators.search import SearchRequest
 from tracewell.plans.inputs import (
     DOCUMENTS,
     LINES_PER_DOC,
+    WORDS,
     document_files,
     document_lines,
     document_postings,
@@ -24,6 +26,8 @@ from tracewell.plans.inputs import (
     event_lines,
     event_postings,
     numbered_lines,
+    stored_lines,
+    stored_postings,
     table,
 )
 from tracewell.session import scratch
@@ -336,14 +340,13 @@ def token_hash(spark, sf_dir):
     return stats.select("token", hashing.token_hash(F.col("token")).alias("hash"))
 
 
-@query("SELECT c_custkey, lpad(CAST((c_custkey * 7919) // 200 AS VARCHAR), 8, '0') AS shard FROM customer")
+@query(ORACLE_SQL["op_token_hash"].replace("SELECT token, CASE", "SELECT token, lpad(CAST((CASE").replace("END AS hash FROM z", "END) // 200 AS VARCHAR), 8, '0') AS shard FROM z"))
 def token_shard(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", hashing.shard_id(F.col("c_custkey") * 7919, 200).alias("shard"))
+    return token_hash(spark, sf_dir).select("token", hashing.shard_id(F.col("hash"), 200).alias("shard"))
 
 
-@query(r"""
-    WITH s AS (SELECT c_custkey, lpad(CAST((c_custkey * 7919) // 200 AS VARCHAR), 8, '0') AS shard FROM customer)
-    SELECT c_custkey, shard, CAST((list_reduce([CAST(1 AS BIGINT)] || list_transform(string_split(shard, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) & 2147483647) % 1000 AS BIGINT) AS file FROM s""")
+@query("WITH s AS (" + ORACLE_SQL["op_token_shard"] + r""")
+    SELECT token, shard, CAST((list_reduce([CAST(1 AS BIGINT)] || list_transform(string_split(shard, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) & 2147483647) % 1000 AS BIGINT) AS file FROM s""")
 def file_partition(spark, sf_dir):
     rows = token_shard(spark, sf_dir)
     return rows.withColumn("file", hashing.file_number(F.col("shard")))
@@ -363,17 +366,17 @@ _AND = f"WITH {_POSTINGS}, hit AS (SELECT doc_id, row_index FROM post WHERE toke
 
 @query(f"WITH {_POSTINGS} SELECT doc_id, row_index FROM post WHERE token = 'the'")
 def search_term(spark, sf_dir):
-    return search.hits(document_postings(spark, sf_dir), [("text", "the")])
+    return search.hits(stored_postings(spark, sf_dir), [("text", "the")])
 
 
 @query(f"{_AND} SELECT doc_id, row_index FROM hit")
 def search_and(spark, sf_dir):
-    return search.hits(document_postings(spark, sf_dir), _TWO)
+    return search.hits(stored_postings(spark, sf_dir), _TWO)
 
 
 @query(f"{_AND} SELECT doc_id, row_index FROM hit")
 def search_and_rarest(spark, sf_dir):
-    rows = document_postings(spark, sf_dir)
+    rows = stored_postings(spark, sf_dir)
     return search.hits_by_rarest(rows, index.token_stats(rows, "field", "token"), _TWO)
 
 
@@ -384,7 +387,7 @@ def search_and_fields(spark, sf_dir):
 
 @query(f"{_AND} SELECT doc_id, row_index FROM hit")
 def search_multi_token(spark, sf_dir):
-    return search.hits(document_postings(spark, sf_dir), search.terms({"text": "The\t\tthat"}))
+    return search.hits(stored_postings(spark, sf_dir), search.terms({"text": "The\t\tthat"}))
 
 
 @query(f"{_AND} SELECT doc_id, row_index FROM hit ORDER BY doc_id, row_index LIMIT 20 OFFSET 20")
@@ -394,26 +397,26 @@ def search_page(spark, sf_dir):
 
 @query(f"{_AND} SELECT count(*) AS total, count(*) AS pv, count(*) AS uv FROM hit")
 def search_pv_only(spark, sf_dir):
-    rows = document_postings(spark, sf_dir)
+    rows = stored_postings(spark, sf_dir)
     return search.totals(search.hits(rows, _TWO), index.token_stats(rows, "field", "token"), _TWO)
 
 
 @query(f"WITH {_POSTINGS} SELECT count(*) AS total, count(*) AS pv, CAST(0 AS BIGINT) AS uv FROM post WHERE token = 'the'")
 def search_counts_one(spark, sf_dir):
-    rows, one = document_postings(spark, sf_dir), [("text", "the")]
+    rows, one = stored_postings(spark, sf_dir), [("text", "the")]
     return search.totals(search.hits(rows, one), index.token_stats(rows, "field", "token"), one)
 
 
 @query(f"{_AND} SELECT doc_id, row_index, line FROM hit JOIN num USING (doc_id, row_index) WHERE length(line) % 2 = 0 ORDER BY doc_id, row_index LIMIT 30")
 def search_filter(spark, sf_dir):
-    lines = numbered_lines(spark, sf_dir).select("doc_id", "row_index", "line")
+    lines = stored_lines(spark, sf_dir).select("doc_id", "row_index", "line")
     matching = lines.join(search_and(spark, sf_dir), ["doc_id", "row_index"], "left_semi").where("length(line) % 2 = 0")
     return search.page(matching, 30)
 
 
 @query(f"{_AND} SELECT doc_id, row_index, line FROM (SELECT * FROM hit ORDER BY doc_id, row_index LIMIT 20) JOIN num USING (doc_id, row_index)")
 def search_fetch(spark, sf_dir):
-    lines = numbered_lines(spark, sf_dir).select("doc_id", "row_index", "line")
+    lines = stored_lines(spark, sf_dir).select("doc_id", "row_index", "line")
     return search.fetch(search.page(search_and(spark, sf_dir), 20), lines, 20)
 
 
@@ -574,20 +577,134 @@ def stream_ingest(spark, sf_dir):
     return rows.select(F.date_format("window", "yyyy-MM-dd HH:mm:ss").alias("win"), "idc", "files", "bytes")
 
 
-@query(r"SELECT * FROM (VALUES ('a.bin', 0, 5, 'first', NULL), ('a.bin', 6, 6, 'second', NULL), ('a.bin', 6, 60, NULL, 'range beyond the end'), ('b.bin', 0, 1, NULL, 'no such file')) t(name, \"offset\", length, content, error)".replace('\\"', '"'))
+def _stored_documents(spark, sf_dir, packed: bool) -> DataFrame:
+    """(path, doc_id, offset, length): all documents' texts in files of 500, as they are or gzipped."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    member = documents.gzip_member("text") if packed else F.encode("text", "utf-8")
+    rows = docs.select(F.concat(F.lit("docs-"), F.expr("doc_id div 500"), F.lit(".bin")).alias("file"), "doc_id", member.alias("member"))
+    return files.write_members(rows, scratch(spark, "members"))
+
+
+@query("""SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, md5(text) AS md5, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT -1, 1000000000000, NULL, 'range beyond the end' UNION ALL SELECT -2, 1, NULL, 'no such file'""")
 def range_read(spark, sf_dir):
-    path = scratch(spark, "ranges")
-    files.write_bytes(spark, f"{path}/a.bin", b"first second")
-    ranges = spark.createDataFrame([("a.bin", 0, 5), ("a.bin", 6, 6), ("a.bin", 6, 60), ("b.bin", 0, 1)], "name string, offset int, length int")
-    return files.read_ranges(spark, path, ranges).withColumn("content", F.col("content").cast("string"))
+    stored = _stored_documents(spark, sf_dir, packed=False)
+    one = stored.orderBy("path").limit(1)
+    odd = one.select(F.lit(-1).cast("long").alias("doc_id"), "path", F.lit(0).cast("long").alias("offset"), F.lit(10**12).alias("length")).unionByName(
+        one.select(F.lit(-2).cast("long").alias("doc_id"), F.concat("path", F.lit(".none")).alias("path"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("length"))
+    )
+    asked = stored.unionByName(odd)
+    got = files.read_ranges(asked).join(asked, ["path", "offset", "length"])
+    return got.where("error is not null or length > 0 or doc_id >= 0").select("doc_id", "length", F.md5("content").alias("md5"), "error").distinct()
 
 
-@query(r"SELECT * FROM (VALUES ('a.gz', 'first'), ('a.gz', 'second')) t(name, content)")
+@query("SELECT doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
 def gunzip(spark, sf_dir):
-    path, members = scratch(spark, "members"), [gzip.compress(x, mtime=0) for x in (b"first", b"second")]
-    files.write_bytes(spark, f"{path}/a.gz", b"".join(members))
-    ranges = spark.createDataFrame([("a.gz", 0, len(members[0])), ("a.gz", len(members[0]), len(members[1]))], "name string, offset int, length int")
-    return files.read_ranges(spark, path, ranges, unpack=True).select("name", F.col("content").cast("string").alias("content"))
+    stored = _stored_documents(spark, sf_dir, packed=True)
+    return files.read_ranges(stored, unpack=True).join(stored, ["path", "offset", "length"]).select("doc_id", F.md5("content").alias("md5"))
+
+
+_GROUPS = r"""
+    gl AS (SELECT source, doc_id AS file_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line
+           FROM (SELECT source, doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+    gn AS (SELECT source, line, row_number() OVER (PARTITION BY source ORDER BY file_id, n) - 1 AS k FROM gl),
+    gb AS (SELECT source, CAST(coalesce(sum(ceil(c / 16.0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
+           FROM (SELECT source, count(*) AS c FROM gl GROUP BY source)),
+    gp AS (SELECT source, CAST(begin + k // 16 AS BIGINT) AS doc_id, CAST(k % 16 AS INTEGER) AS row_index, line FROM gn JOIN gb USING (source))"""
+
+
+@query(f"WITH {_GROUPS} SELECT source, doc_id, row_index, line FROM gp")
+def doc_packing_group(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    return documents.pack_groups(docs, ["source"], "doc_id", "text", LINES_PER_DOC, F.lit(0))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) || chr(9) || 'docs-' || (doc_id // 500) || '.bin' AS row FROM documents WHERE text IS NOT NULL")
+def doc_meta(spark, sf_dir):
+    rows = documents.doc_meta_rows(_stored_documents(spark, sf_dir, packed=True))
+    parts = F.split("value", "\t")
+    place = F.get_json_object(F.unbase64(F.get(parts, F.lit(1))).cast("string"), "$.path")
+    return rows.select(F.concat_ws("\t", F.get(parts, F.lit(0)), F.element_at(F.split(place, "/"), -1)).alias("row"))
+
+
+@query(r"""SELECT source, md5(string_agg(regexp_replace(text, '\n\z', ''), chr(10) ORDER BY doc_id)) AS md5 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
+def plain_concat(spark, sf_dir):
+    folder = scratch(spark, "concat")
+    documents.plain_concat(table(spark, sf_dir, "documents").where("text is not null and source is not null"), "source", "doc_id", "text", folder)
+    rows = spark.read.option("lineSep", "\n").schema("value string, source string").text(folder)
+    rows = rows.select("source", "value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    return rows.groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "b", "n", "value"))), lambda r: r["value"]), "\n")).alias("md5"))
+
+
+@query("SELECT 'f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.gz' ELSE '' END AS path, md5(text) AS md5 FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'f' || doc_id, md5(text) FROM documents WHERE text IS NOT NULL")
+def rezip(spark, sf_dir):
+    plain = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    some = documents.rezip(plain.where("int(substring(path, 2)) % 2 = 0"), zip=True, unzip=False).unionByName(plain.where("int(substring(path, 2)) % 2 = 1"))
+    back = documents.rezip(some, zip=False, unzip=True)
+    opened = some.select("path", F.md5(F.when(F.col("path").endswith(".gz"), files.gunzip("content")).otherwise(F.col("content"))).alias("md5"))
+    return opened.unionByName(back.select("path", F.md5("content").alias("md5")))
+
+
+@query(f"""WITH {_POSTINGS} SELECT token, count(*) AS pv, count(*) AS postings FROM post GROUP BY token""")
+def shard_blob(spark, sf_dir):
+    blobs = index.shard_blobs(document_postings(spark, sf_dir))
+    rows = blobs.select(F.explode(F.split(files.gunzip("blob").cast("string"), "\n")).alias("value"))
+    return index.parse_text_rows(rows).select("token", "pv", F.size("postings").cast("long").alias("postings"))
+
+
+@query(f"WITH {_POSTINGS} SELECT token, count(*) AS pv, md5(string_agg(doc_id || ',' || row_index, ';' ORDER BY doc_id, row_index)) AS md5 FROM post GROUP BY token")
+def dump_merge(spark, sf_dir):
+    """Two dumps, of even and odd documents, that share tokens."""
+    rows = document_postings(spark, sf_dir)
+    dumps = [index.posting_lists(rows.where(f"doc_id % 2 = {i}"), "field", "token").select(index.text_row(F.col("token"), F.col("field"), F.col("postings"), F.col("pv")).alias("value")) for i in (0, 1)]
+    read = index.parse_text_rows(dumps[0].unionByName(dumps[1]))
+    pairs = F.sort_array(F.flatten(F.collect_list("postings")))
+    merged = read.groupBy("token").agg(F.sum("pv").alias("pv"), pairs.alias("p"))
+    return merged.select("token", "pv", F.md5(F.array_join(F.transform("p", lambda x: F.concat_ws(",", x["doc_id"].cast("string"), x["row_index"].cast("string"))), ";")).alias("md5"))
+
+
+def _engine(spark, sf_dir, posting_cap: int = 1_000_000) -> Engine:
+    """All documents, ingested and indexed in two batches, the first of them twice."""
+    config = IndexConfig("docs", "TAB", ("text",), {"text": WORDS}, lines_per_doc=LINES_PER_DOC, posting_cap=posting_cap)
+    engine = Engine(spark, config, scratch(spark, "engine"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    for batch, some in (("even", "file_id % 2 = 0"), ("even", "file_id % 2 = 0"), ("odd", "file_id % 2 = 1")):
+        engine.ingest(rows.where(some), "2024-01-01", batch)
+        engine.build_index("2024-01-01")
+    return engine
+
+
+@query(f"WITH {_POSTINGS} SELECT field, token, count(*) AS pv, count(*) AS postings, (SELECT sum(n_docs) FROM be) AS docs FROM post GROUP BY ALL")
+def engine_two_ingests(spark, sf_dir):
+    """Counts and postings after ingest, build, the same again, ingest, build, merge twice, rebuild."""
+    engine = _engine(spark, sf_dir)
+    more = spark.createDataFrame([("docs", "2024-01-02", "text", "merged", 1, 0)], "business string, day string, field string, token string, doc_id long, row_index int").withColumn("day", F.to_date("day"))
+    for _ in range(2):
+        engine.merge_index(more, "m")
+    engine.build_index("2024-01-01", again=True)
+    day = F.col("day") == "2024-01-01"
+    n = engine._table("lines").where(day).select("doc_id").distinct().agg(F.count("*").alias("docs"))
+    kept = engine._table("postings").where(day).groupBy("field", "token").agg(F.count("*").alias("postings"))
+    return engine.stats().where(day).join(kept, ["field", "token"]).select("field", "token", "pv", "postings").join(F.broadcast(n))  # one row
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS doc_id WHERE false")
+def engine_no_such_token(spark, sf_dir):
+    """A word that yields no term, or that no line holds, leaves no hit of the other."""
+    engine = _engine(spark, sf_dir)
+    found = [engine.search(SearchRequest("docs", {"text": f"the\t{x}"}, ("2024-01-01",), page_size=1000))[1] for x in ("---", "nosuchword")]
+    return found[0].unionByName(found[1]).select("doc_id")
+
+
+@query(f"WITH {_POSTINGS}, r AS (SELECT token, count(*) AS pv, least(count(*), 200) AS kept FROM post GROUP BY token) SELECT token, pv, kept FROM r WHERE pv > 100")
+def engine_cap(spark, sf_dir):
+    """100 postings of each token in each of two batches; tokens of over 100 whose batches are both full, or not cut."""
+    engine = _engine(spark, sf_dir, posting_cap=100)
+    kept = engine._table("postings").groupBy("token", "batch").agg(F.count("*").alias("n"))
+    counts = engine._table("token_stats").groupBy("token", "batch").agg(F.sum("pv").alias("pv"))
+    rows = counts.join(kept, ["token", "batch"]).withColumn("whole", F.col("n") == F.least("pv", F.lit(100)))
+    rows = rows.groupBy("token").agg(F.sum("pv").alias("pv"), F.sum(F.when(F.col("whole"), F.col("n"))).alias("n"), F.min("pv").alias("least")).where("pv > 100")
+    return rows.select("token", "pv", F.when(F.col("n") < 100, 0).otherwise(F.least("pv", F.lit(200))).cast("long").alias("kept"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

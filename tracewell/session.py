@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -35,12 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     here for a session on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, found[len("file://") :], True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to all tasks if it has at most so many rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
