@@ -1,16 +1,15 @@
 """Byte-level BPE over a whole corpus: every distinct word is encoded once for
 each bucket of words, not once for each document.
 
-Tasks cut texts into pre-tokens and keep, for some megabytes of documents (a
-batch), the distinct words and the word number at every position, both packed.
-(1) Words go to the bucket of their hash, which encodes each once and answers
-every batch with its words' ids. (2) Answers meet their batch's positions; ids
+Tasks cut texts into pre-tokens, once, and keep, for some megabytes of documents (a
+batch), the distinct words and the word number at every position, both packed. One
+shuffle deals out both: words to the bucket of their hash, positions by their batch.
+(1) A bucket encodes each of its words once and answers every batch with its words'
+ids. (2) Answers meet their batch's positions, read from the same shuffle; ids
 are put together by position. Decoding looks every id up in the table of token
 bytes. A word in every document reaches its bucket once for each batch.
 
-A batch is named by a hash of its texts. Both sides of (2) come from scans of the
-same input; if an input that is no stored table changes between them, the query
-fails rather than give other ids.
+A batch is named by a hash of its texts, so a task that runs again on the same rows names it alike.
 
 Defined cases: null or empty text: no tokens. Null doc_id: kept, stays null.
 Repeated rows: each is encoded. Empty table: no rows. Other columns are not read.
@@ -58,7 +57,7 @@ def _batches(batches):
     for chunk in chunks(batches, 1, BATCH_BYTES):
         ids, some = chunk.columns
         data, offsets = utf8(some)
-        name = int.from_bytes(hashlib.blake2b(data.tobytes() + offsets.tobytes() + ids.to_numpy().tobytes(), digest_size=8).digest(), "little", signed=True)
+        name = -1 - (int.from_bytes(hashlib.blake2b(data.tobytes() + offsets.tobytes() + ids.to_numpy().tobytes(), digest_size=8).digest(), "little") >> 1)
         found: dict[str, int] = {}
         split = _pattern(public_tokenizers.PATTERN).findall
         numbers, sizes = [], []
@@ -74,20 +73,23 @@ def _batches(batches):
         yield name, ids.to_pylist(), [words[i] for i in order.tolist()], rank[at], np.array(sizes, np.int64)
 
 
-def _words(buckets: int):
+_SENT = pa.schema([("home", pa.int64()), ("docs", pa.list_(pa.int64())), ("n_words", pa.int64()), ("name", pa.int64()), *[(x, pa.binary()) for x in "abc"]])
+
+
+def _scan(buckets: int):
+    """Rows of words (home: their bucket; name: their batch; numbers, sizes, words) and of positions (home, below 0: the batch; docs; positions, sizes)."""
+
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for name, _, words, _, _ in _batches(batches):
+        for name, ids, words, at, sizes in _batches(batches):
+            rows = [(name, ids, len(words), name, blobs.pack(at), blobs.pack(sizes), None)]
             raw = [w.encode() for w in words]
             home = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
-            rows = []
-            for k in np.unique(home).tolist():
-                mine = np.flatnonzero(home == k)
+            order = np.argsort(home, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
                 some = [raw[i] for i in mine.tolist()]
-                rows.append((k, name, blobs.pack_rising(mine), blobs.pack(np.array([len(w) for w in some])), squeeze.compress(b"".join(some))))
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["bucket", "name", "numbers", "sizes", "words"])
+                rows.append((int(home[mine[0]]), None, None, name, blobs.pack_rising(mine), blobs.pack(np.array([len(w) for w in some])), squeeze.compress(b"".join(some))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _SENT)], schema=_SENT)
 
     return run
 
@@ -96,7 +98,9 @@ def _encode(path: str):
     def run(table: pa.Table) -> pa.Table:
         encode, known, rows = rank_encoder(path)._encode_single_piece, {}, []
         opened = zstandard.ZstdDecompressor()
-        for name, numbers, sizes, words in zip(*(table.column(x).to_pylist() for x in ("name", "numbers", "sizes", "words"))):
+        if table.column("home")[0].as_py() < 0:  # positions
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["name", "numbers", "counts", "ids"])
+        for name, numbers, sizes, words in zip(*(table.column(x).to_pylist() for x in ("name", *"abc"))):
             to = np.cumsum(blobs.unpack(sizes).astype(np.int64))
             raw = opened.decompress(words, max_output_size=int(to[-1]) + 1)
             ids, counts, a = [], [], 0
@@ -114,20 +118,15 @@ def _encode(path: str):
     return run
 
 
-def _positions(batches):
-    for name, ids, words, at, sizes in _batches(batches):
-        types = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
-        row = (name, ids, len(words), blobs.pack(at), blobs.pack(sizes))
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["name", "docs", "n_words", "positions", "sizes"])
-
-
 _DIGEST = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
 def _assemble(path: str, outputs: bool):
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        if batch.num_rows and batch.column("home")[0].as_py() >= 0:  # words
+            return pa.Table.from_arrays([pa.array([], t.type) for t in _DIGEST], schema=_DIGEST)
         if not batch.num_rows:
-            raise RuntimeError("the documents changed between two scans; store them first")
+            raise RuntimeError("the documents changed under a task that ran again; store them first")
         table = token_bytes(path)
         n = batch.column("n_words")[0].as_py()
         ids: list = [None] * n
@@ -137,12 +136,12 @@ def _assemble(path: str, outputs: bool):
                 ids[i] = flat[a : a + c]
                 a += c
         if None in ids:
-            raise RuntimeError("the documents changed between two scans; store them first")
+            raise RuntimeError("the documents changed under a task that ran again; store them first")
         text = [",".join(map(str, x)) for x in ids]
         back = [b"".join([table[i] for i in x]) for x in ids]
         count = np.array([len(x) for x in ids], np.int64)
         rows = []
-        for docs, positions, sizes in zip(*(batch.column(x).to_pylist() for x in ("docs", "positions", "sizes"))):
+        for docs, positions, sizes in zip(*(batch.column(x).to_pylist() for x in ("docs", "a", "b"))):
             at, to = blobs.unpack(positions).astype(np.int64), np.cumsum(blobs.unpack(sizes).astype(np.int64))
             a = 0
             for doc, b in zip(docs, to.tolist()):
@@ -164,9 +163,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, outputs: bool = True
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.keyed(docs)
     buckets = int(max(4, -(-common.total_bytes(docs) // BUCKET_BYTES)))
-    words = docs.mapInArrow(_words(buckets), "bucket int, name long, numbers binary, sizes binary, words binary")
-    answers = words.groupBy("bucket").applyInArrow(_encode(path), "name long, numbers binary, counts binary, ids binary")
-    places = docs.mapInArrow(_positions, "name long, docs array<long>, n_words long, positions binary, sizes binary")
+    sent = docs.mapInArrow(_scan(buckets), "home long, docs array<long>, n_words long, name long, a binary, b binary, c binary").repartition("home")
+    answers = sent.groupBy("home").applyInArrow(_encode(path), "name long, numbers binary, counts binary, ids binary")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary"
-    out = places.groupBy("name").cogroup(answers.groupBy("name")).applyInArrow(_assemble(path, outputs), schema)
+    out = sent.groupBy("home").cogroup(answers.groupBy("name")).applyInArrow(_assemble(path, outputs), schema)
     return out.select(common.public_id(), "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
