@@ -6,8 +6,10 @@ so fingerprints of parts merge; the share of those that both hold estimates
 resemblance, and the k-th least hash the number of distinct shingles.
 
 Each document is compared with its successor in descending doc_id. Documents are
-dealt to ranges of ids, the first of each range also to the range before it, and
-stream through in order; texts are shuffled once.
+dealt to ranges of ids, one a partition, the first of each range also to the range
+before it, and stream through in order; texts are shuffled once. A range is of
+RANGE_BYTES, or of more where that would make over MOST_RANGES of them; it streams
+from a sort that can spill, so large ones take longer, not more memory.
 
 Defined cases: null text: empty. A text of fewer words than a shingle: all its
 words are one shingle; no words: the empty fingerprint "", which resembles only
@@ -22,6 +24,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ WORDS = 5
 K = 256
 BITS = 48
 RANGE_BYTES = 24_000_000
-MOST_RANGES = 1024
+MOST_RANGES = 65_536
 BATCH_BYTES = 4_000_000
 _PAD = np.uint64(2**64 - 1)
 
@@ -137,21 +140,23 @@ def with_successors(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike it is to that and to its successor's."""
     docs = common.keyed(docs)
     ranges = int(min(MOST_RANGES, 1 + common.total_bytes(docs) // RANGE_BYTES))
-    bounds: list[int] = []
-    if ranges > 1:
-        cuts = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("id", cuts, 100 * ranges)).first()[0] or []))
-    # range 0 holds the largest ids; an id on a bound belongs below it
-    place = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x >= F.col("id"))) if bounds else F.lit(0)
-    placed = docs.select(place.alias("range"), F.lit(0).alias("late"), "id", "text")
-    heads = sorted((r["range"], r["head"]) for r in placed.groupBy("range").agg(F.max("id").alias("head")).collect())
-    if heads:
-        order = [h for _, h in heads]
-        before = dict(zip(order, [heads[-1][0], *[r for r, _ in heads]]))
-        first = docs.where(F.col("id").isin(order))
-        to = F.create_map(*[F.lit(x).cast(t) for h, r in before.items() for x, t in ((h, "long"), (r, "int"))])
-        placed = placed.unionByName(first.select(to[F.col("id")].alias("range"), F.lit(1).alias("late"), "id", "text"))
-    rows = placed.repartition("range").sortWithinPartitions("range", "late", F.desc("id"), "text")
+    # the largest id of each of so many ranges of rows; only ids are read and dealt out
+    dealt = docs.select("id").repartitionByRange(ranges, F.desc("id")).groupBy(F.spark_partition_id().alias("range")).agg(F.max("id").alias("head"))
+    heads = np.array(sorted({r["head"] for r in dealt.collect()}), np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        """Range 0 holds the largest ids."""
+        return pd.Series((len(heads) - 1 - np.searchsorted(heads, ids.to_numpy())).astype(np.int32))
+
+    rows = docs.select(place("id").alias("range") if len(heads) > 1 else F.lit(0).alias("range"), F.lit(0).alias("late"), "id", "text")
+    if len(heads):
+        down = heads[::-1].tolist()
+        to = docs.sparkSession.createDataFrame([(h, (r - 1) % len(down)) for r, h in enumerate(down)], "id long, range int")
+        # a row for each range: of the rows of its head, the first
+        first = docs.join(F.broadcast(to), "id").groupBy("range", "id").agg(F.min("text").alias("text"))
+        rows = rows.unionByName(first.select("range", F.lit(1).alias("late"), "id", "text"))
+    rows = rows.repartitionById(max(1, len(heads)), F.col("range")).sortWithinPartitions("range", "late", F.desc("id"), "text")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double"
     return rows.mapInArrow(_successors(k, n), schema).select(common.public_id(), *[x.split()[0] for x in schema.split(", ")[1:]])
 
