@@ -103,6 +103,22 @@ def join_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("_apart", F.struct(*keys)).join(right.withColumn("_apart", F.struct(*keys)).drop(*keys), "_apart", how).drop("_apart")
 
 
+#: Rows that one task sends a chunk in at most, so that each row is worth its while.
+FANOUT = 8192
+
+
+#: Numbers that are held to be cut anew.
+HELD = 4_000_000
+
+
+def in_two_steps(sent: DataFrame, buckets: int, again) -> DataFrame:
+    """sent: (bucket, ...), packed rows of coarse buckets where buckets are more than FANOUT. Then they are dealt out by
+    these first, again(batches) puts rows of a coarse bucket together and cuts them by the fine ones."""
+    if buckets <= FANOUT:
+        return sent
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(again, sent.schema)
+
+
 def total_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; docs as keyed() gives them. A JVM-side scan of one column."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

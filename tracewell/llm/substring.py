@@ -100,17 +100,51 @@ def _hash_windows(width: int, buckets: int, groups: int):
             rows = _by_group(groups, lambda n: n % buckets, key[o[gone]], copy[o[gone]], s[gone])
             rows = [(x[0], x[1], None, *x[2:]) for x in rows]
             h, o, s = h[~same], o[~same], s[~same]
-            low = key.min()
-            cut = np.searchsorted(_buckets(h, buckets), np.arange(buckets + 1))
-            for k in range(buckets):
-                x = slice(cut[k], cut[k + 1])
-                if cut[k] < cut[k + 1]:
-                    rows.append((k, None, int(_ids(low[None])[0]), blobs.pack_rising(h[x]), blobs.pack(key[o[x]] - low), blobs.pack(copy[o[x]]), blobs.pack(s[x])))
+            rows += _by_bucket(buckets, h, key[o], copy[o], s)
             yield _batch(rows, _SENT)
 
     return run
 
 
+def _by_bucket(buckets: int, h, key, copy, start) -> list[tuple]:
+    """Windows in the order of their hashes -> a row for each bucket that has any."""
+    if not len(h):
+        return []
+    bucket, low = _buckets(h, buckets), key.min()
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    parts = (slice(a, b) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]))
+    return [(int(bucket[x.start]), None, int(_ids(low[None])[0]), blobs.pack_rising(h[x]), blobs.pack(key[x] - low), blobs.pack(copy[x]), blobs.pack(start[x])) for x in parts]
+
+
+def _again(buckets: int):
+    """Rows of coarse buckets, sorted by them -> the same by fine bucket, of some rows at a time; what goes to groups passes."""
+
+    def cut(held):
+        h, key, copy, start = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        return _batch(_by_bucket(buckets, h[order], key[order], copy[order], start[order]), _SENT)
+
+    def run(batches):
+        held, size, at = [], 0, None
+        for batch in batches:
+            passed = batch.filter(pa.compute.is_valid(batch.column("group")))
+            if passed.num_rows:
+                yield passed.cast(_SENT)
+            for k, low, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("bucket", "low", *"abcd"))):
+                if low is None:
+                    continue
+                if held and (k != at or size > common.HELD):
+                    yield cut(held)
+                    held, size = [], 0
+                at = k
+                held.append((blobs.unpack_rising(a), blobs.unpack(b) + _order_key(np.array([low])), blobs.unpack(c), blobs.unpack(d)))
+                size += len(held[-1][0])
+        if held:
+            yield cut(held)
+
+    return run
+
+
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     """Ascending with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -168,7 +202,9 @@ def _meet_again(docs: DataFrame, width: int, finish, schema: str | T.StructType)
     size = common.total_bytes(docs)
     buckets = int(max(4, -(-size // (_BYTES_A_WORD * BUCKET_WINDOWS))))
     groups = int(size // GROUP_BYTES) | 1
-    sent = docs.select("id", "copy", "text").mapInArrow(tidied(_hash_windows(width, buckets, groups)), "bucket int, group long, low long, a binary, b binary, c binary, d binary")
+    coarse = min(buckets, common.FANOUT)
+    sent = docs.select("id", "copy", "text").mapInArrow(tidied(_hash_windows(width, coarse, groups)), "bucket int, group long, low long, a binary, b binary, c binary, d binary")
+    sent = common.in_two_steps(sent, buckets, tidied(_again(buckets)))
     found = sent.groupBy("bucket").applyInArrow(_later_ones(groups), "group long, a binary, b binary, c binary, d binary")
 
     def cut(table: pa.Table, gone: pa.Table) -> pa.Table:
