@@ -173,6 +173,25 @@ def _dealt(s: np.ndarray, whose: np.ndarray, nodes: np.ndarray, buckets: int) ->
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["bucket", "nodes", "signatures", "whose"])
 
 
+def _again(buckets: int):
+    """Rows as _dealt() makes them, sorted by coarse bucket -> the same by fine bucket, of some rows at a time."""
+
+    def run(batches):
+        held, size, at = [], 0, None
+        for batch in batches:
+            for k, nodes, sig, whose in zip(*(x.to_pylist() for x in batch.columns)):
+                if held and (k != at or size > common.HELD):
+                    yield _dealt(np.concatenate([x for x, _ in held]), np.arange(size), np.concatenate([x for _, x in held]), buckets)
+                    held, size = [], 0
+                at, s = k, blobs.unpack_rising(sig)
+                held.append((s, blobs.unpack_rising(nodes).view(np.int64)[blobs.unpack(whose).astype(np.int64)]))
+                size += len(s)
+        if held:
+            yield _dealt(np.concatenate([x for x, _ in held]), np.arange(size), np.concatenate([x for _, x in held]), buckets)
+
+    return run
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """A bucket's signatures that several nodes have: (signature, node, the least such node)."""
     s, v = [], []
@@ -422,7 +441,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
     plan = Plan(percent, size["most"])
     per_element = 3.6 * (100 - percent) / (100 + percent)
     buckets = max(4, int(size["all"] * per_element) // BUCKET_SIGNATURES)
-    signed = base.select("text").mapInArrow(tidied(_sign(n, lower, plan, buckets)), "bucket int, nodes binary, signatures binary, whose binary")
+    signed = base.select("text").mapInArrow(tidied(_sign(n, lower, plan, min(buckets, common.FANOUT))), "bucket int, nodes binary, signatures binary, whose binary")
+    signed = common.in_two_steps(signed, buckets, tidied(_again(buckets)))
     shared = common.materialise(signed.groupBy("bucket").applyInArrow(_shared, "signature long, node long, low long"), "signatures")
 
     stars = common.materialise(shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
