@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -45,7 +46,8 @@ _PHONE = frozenset(" ().0123456789-")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
-_CREDENTIALS = re.compile(r"[^\s/?#@\"'<>]++@(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>]*)?")
+_CREDENTIALS = re.compile(r"[^\s/?#@\"'<>]++@(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?")
+_TAIL = re.compile(r"[^\s\"'<>]*+")
 _LINK = re.compile(r"(?:[\s_-]*(?:number|num|nr|no|id|n°|#))?[\s.]{0,2}(?:\s?(?:is|was)\s|\s*[:=#]\s*|\s)", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9A-Za-z])")
@@ -183,27 +185,57 @@ def _announced(text: str, what: str, end: int) -> tuple[str, int, int] | None:
     return None
 
 
+class _Taken:
+    """What spans cover, as ranges apart from each other in order."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+    def put(self, a: int, b: int) -> None:
+        """A span that meets none; those of a text come nearly in order."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """All spans of a text by kind."""
     signs = [(end - size + 1, what, end + 1) for end, (what, size) in _automaton().iter(text)]
     spans = base_spans(text, [(at, what) for at, what, _ in signs]) | {k: [] for k in ADDED}
     cues = [x for x in signs if x[1] not in ("at", "plus")]
     if cues:
-        taken = sorted(x for k in BASE for x in spans[k])
-        bare = 0
+        taken, added = _Taken(x for k in BASE for x in spans[k]), _Taken()
+        bare = tail = 0
         for at, what, end in cues:
             if what == "scheme":
                 scheme, m = _SCHEME.search(text, max(0, at - 32), at), _CREDENTIALS.match(text, end)
-                found = ("address", scheme.start(), m.end()) if scheme and m else None
+                found = None
+                if scheme and m:
+                    to = m.end()
+                    if text[to : to + 1] in ("/", "?", "#"):
+                        if to >= tail:  # else within a run that was read before, and ends with it
+                            tail = _TAIL.match(text, to).end()
+                        to = tail
+                    found = ("address", scheme.start(), to)
             elif at and text[at - 1].isalnum():
                 found = None
             elif what == "secret":
                 found, bare = _secret(text, end, bare)
             else:
                 found = _announced(text, what, end)
-            if found and not any(a < found[2] and found[1] < b for a, b in taken):
+            if found and not taken.meets(*found[1:]) and not added.meets(*found[1:]):
                 spans[found[0]].append(found[1:])
-                taken.append(found[1:])
+                added.put(*found[1:])
     for k in ADDED:
         spans[k].sort()
     return spans
