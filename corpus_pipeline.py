@@ -1,7 +1,16 @@
 """From documents to packed training sequences.
 
 Every stage works on all that the stage before it kept, is written as Parquet and
-read again; all but the last return the columns of documents.
+read again; all but the last return the columns of documents. What a stage wrote is
+deleted when the next one is written; the last one is not written here, so what it
+reads stays.
+
+Defined cases, for every stage: a null text is an empty one and stays null; a null
+doc_id is a document of its own and stays null; nulls in other columns, and further
+columns of any name, are carried along. Empty texts stay in all stages (as the end
+token alone in the last). Texts of any length are read whole. Repeated rows: equal
+ones are near duplicates, of which one stays, but empty ones all stay; the other
+stages treat each alike. Of equal documents the least doc_id stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import jaccard, packing, pii, substring, toxicity
-from tracewell.llm.common import table
-from tracewell.session import scratch
+from tracewell.llm.common import discard, materialise, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
