@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Levels of the tree; what is below is one last segment.
-DEPTH = 6
+#: Levels of the tree at most (it ends with the deepest path); what is below is one last segment, its variable parts each ``*``.
+DEPTH = 32
 MANY_CHILDREN = 30
 RARE = 5
 Z = 1.96
 STRENGTH = 4.0
-REJECT = 0.8
+REJECT = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VARIABLE = r"^(?:[0-9]+|[0-9]{1,4}[-_.][0-9].*|[0-9a-fA-F-]{8,}|[^/]*[0-9]{3,}[^/]*|[A-Za-z0-9_=-]{24,})$"
 
@@ -87,6 +87,8 @@ def templates(paths: DataFrame) -> DataFrame:
     prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
     depth = min(DEPTH, max(1, (total["d"] or 1) - 1))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", DEPTH)
+    below = F.array_join(F.transform(F.split(F.get(segments, F.lit(DEPTH - 1)), "/"), lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x)), "/")
+    segments = F.when(F.size(segments) < DEPTH, segments).otherwise(F.concat(F.slice(segments, 1, DEPTH - 1), F.array(below)))
     rows = paths.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("purity", F.lit(None).cast("double"))
     for level in range(depth):
         level_rows, rows = rows, rows.withColumn("segment", F.get("segments", F.lit(level)))
