@@ -1,6 +1,8 @@
 """Operators on documents against plain versions, and on odd, repeated and empty tables."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -10,7 +12,7 @@ import pytest
 
 from tests.llm import plain
 from tests.llm.conftest import ODD, corpus
-from tracewell.llm import bpe, counts, jaccard, packing, pii, quality, sketch, substring, toxicity
+from tracewell.llm import bpe, common, counts, jaccard, packing, pii, quality, sketch, substring, toxicity
 from tracewell.llm.tokenizers import rank_encoder
 
 
@@ -31,6 +33,26 @@ class TestSubstring:
         got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substring.digest(docs)).items()}
         assert got == plain.substring(rows)
 
+    def test_two_steps_of_buckets(self, docs, rows, monkeypatch):
+        for name, value in (("CHUNK_BYTES", 2000), ("BUCKET_WINDOWS", 50), ("GROUP_BYTES", 3000)):
+            monkeypatch.setattr(substring, name, value)
+        monkeypatch.setattr(common, "FANOUT", 3)
+        monkeypatch.setattr(common, "HELD", 500)
+        got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substring.digest(docs)).items()}
+        assert got == plain.substring(rows)
+
+    def test_bytes_of_a_chunk_hardly_grow_with_buckets(self):
+        r = np.random.default_rng(3)
+        h = np.sort(r.integers(0, 2**63, 600_000).astype(np.uint64) * np.uint64(2))
+        key, copy, start = (x.astype(np.uint64) for x in (r.integers(0, 3000, len(h)), np.zeros(len(h)), r.integers(0, 900, len(h))))
+        size = [sum(len(x) for row in substring._by_bucket(n, h, key, copy, start) for x in row[3:]) for n in (85, common.FANOUT)]
+        assert size[1] < 1.4 * size[0]
+
+    def test_empty_and_repeated(self, empty, spark):
+        assert substring.digest(empty).count() == 0
+        same = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))] * 3, "doc_id long, text string")
+        assert [(r.n_words, r.n_removed) for r in substring.digest(same).collect()] == [(30, 0)] * 3
+
     def test_odd(self, odd):
         got = substring.digest(odd).collect()
         assert len(got) == len(ODD)
@@ -83,6 +105,50 @@ class TestJaccard:
                         x, y = (set(jaccard.signatures(s, np.array([len(s)]), shape)[0].tolist()) for s in (a, b))
                         assert x & y
 
+    def test_small_blocks_and_two_steps_of_buckets(self, docs, rows, monkeypatch):
+        for name, value in (("CHUNK_BYTES", 3000), ("BUCKET_SIGNATURES", 500), ("BLOCK", 3), ("AROUND", 2), ("FAMILY", 4), ("PAIRS", 5), ("SUMS", 7), ("COLUMNS", 3)):
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(common, "FANOUT", 3)
+        monkeypatch.setattr(common, "HELD", 500)
+        ordered = sorted(rows)
+        root, sizes = plain.groups(ordered, 5, 80)
+        got = {d: (r.n_shingles, r.component_id) for d, r in by_id(jaccard.digest(docs, 5, 80)).items()}
+        assert got == {d: (s, ordered[g][0]) for (d, _), s, g in zip(ordered, sizes, root)}
+
+    def test_shared_counts(self):
+        r = np.random.default_rng(1)
+        sets = [np.unique(r.integers(0, 400, r.integers(1, 90)).astype(np.uint64)) for _ in range(50)]
+        for left, right in ((sets, sets), (sets[:20], sets[20:])):
+            got = np.concatenate([x for _, x in jaccard.shared_counts(left, right)])
+            expected = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+            if left is right:
+                np.fill_diagonal(got, 0)
+                np.fill_diagonal(expected, 0)
+            assert (got == expected).all()
+
+    def test_bytes_of_a_chunk_hardly_grow_with_buckets(self):
+        r = np.random.default_rng(3)
+        s, whose, nodes = r.integers(0, 2**63, 500_000).astype(np.uint64) * np.uint64(2), r.integers(0, 4000, 500_000), r.integers(-(2**63), 2**63, 4000)
+        size = [sum(len(x.as_py()) for c in ("nodes", "signatures", "whose") for x in jaccard._dealt(s, whose, nodes, n).column(c)) for n in (30, 6000)]
+        assert size[1] < 2.2 * size[0]
+
+    def test_one_boilerplate_in_many(self, spark):
+        r = np.random.default_rng(9)
+        passage = " ".join(f"b{i}" for i in range(60))
+        rows = [(i, passage + " " + " ".join(f"w{x}" for x in r.integers(0, 10**6, 40))) for i in range(5000)]
+        got = jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+        assert got.where("component_id <> doc_id").count() == 0
+
+    def test_a_very_large_set(self):
+        h = np.arange(20_000_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        s, whose = jaccard.signatures(h, np.array([len(h)]), jaccard.Plan(90, len(h)))
+        assert len(s) == len(whose) > 10**6
+
+    def test_empty_and_repeated(self, empty, repeated):
+        assert jaccard.digest(empty).count() == 0
+        got = jaccard.digest(repeated).collect()
+        assert len(got) == 25 and all(len({r.component_id for r in got if r.doc_id == d}) == 1 for d in {r.doc_id for r in got} - {1})
+
     def test_odd(self, odd):
         got = jaccard.digest(odd).collect()
         assert len(got) == len(ODD)
@@ -215,6 +281,14 @@ class TestBpe:
                     assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
                     assert r.decoded_sha256 == hashlib.sha256(r.decoded).hexdigest()
 
+    def test_one_scan_behind_a_shuffle(self, spark, docs, rows, tmp_path):
+        docs.write.parquet(str(tmp_path / "docs"))
+        df = bpe.encode_decode(spark.read.parquet(str(tmp_path / "docs")).repartition(7), outputs=False)
+        encoder = rank_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+        assert {r.doc_id: r.n_tokens for r in df.collect()} == {d: len(encoder.encode_ordinary(t)) for d, t in rows}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan
+
     def test_repeated_and_empty(self, repeated, empty):
         assert bpe.encode_decode(repeated).count() == 25
         assert bpe.encode_decode(empty).count() == 0
@@ -249,6 +323,24 @@ class TestPii:
             assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.BASE for a, b in spans[k]).encode()).hexdigest()
         assert pii.search(docs).where("spans <> ''").count() == 0
 
+    def test_base_of_random_texts(self):
+        r = random.Random(4)
+        parts = ["a", "x.y", "@", "-", ".", "1", "23", "255", "256", "4111 1111 1111 1111", "+", "(", ")", " ", "  ", "é", "_", "%", "b.cd", "\n", "0", "://", "account"]
+        for _ in range(4000):
+            text = "".join(r.choice(parts) for _ in range(r.randint(1, 30)))
+            spans = pii.find(text)
+            assert {k: spans[k] for k in pii.BASE} == plain.base_spans(text), text
+
+    def test_many_anchors_take_no_longer_than_their_text(self):
+        def seconds(text):
+            began = time.perf_counter()
+            pii.find(text)
+            return time.perf_counter() - began
+
+        for one in ("x://a@b/", "mail a@b.cd token=0123456789 ", "x://a@b/ account 12345678 "):
+            seconds(one * 100)
+            assert min(seconds(one * 32_000) for _ in range(3)) < 20 * min(seconds(one * 4_000) for _ in range(3)) + 0.05, one
+
     def test_added(self):
         found = lambda t: pii.redact(t, pii.find(t))
         assert found("IBAN DE89 3704 0044 0532 0130 00 THEN") == "IBAN [ACCOUNT] THEN"

@@ -1,11 +1,15 @@
 """The pipeline's stages one by one, on planted documents."""
 
+import os
 import random
 
 import corpus_pipeline
 import pytest
 
 from tests.llm import plain
+from tests.llm.conftest import ODD
+from tracewell import session
+from tracewell.llm import common
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,5 +52,36 @@ def test_stages(spark, planted, tmp_path):
     assert kept[4].keys() == kept[3].keys()
 
 
-def test_run(spark, planted):
-    assert corpus_pipeline.run(spark, planted[0]).columns[0] == "doc_id"
+def test_run(spark, planted, tmp_path, monkeypatch):
+    """The stages one after the other, and no more left behind than the last one reads."""
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, planted[0])
+    assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    docs = spark.read.parquet(f"{planted[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, planted[0]), "stage")
+    expected = corpus_pipeline.STAGES[-1][1](spark, docs, planted[0])
+    pieces = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert pieces(out) == pieces(expected)
+    assert sum(name.startswith("pipeline-") for name in os.listdir(tmp_path)) == 1
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_a_stage_on_odd_tables(spark, planted, odd, repeated, empty, number):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, no rows."""
+    name, stage = corpus_pipeline.STAGES[number]
+    nothing = spark.createDataFrame([(None,) * 5], "doc_id long, text string, lang string, source string, n_chars long")
+    for df in (odd, repeated, empty, nothing):
+        out = stage(spark, df, planted[0])
+        rows = out.collect()
+        if number < 4:
+            assert out.columns == df.columns, name
+            assert len(rows) <= df.count()
+        if df is empty:
+            assert not rows
+        elif df is odd:
+            assert {r.doc_id for r in rows} == {d for d, _ in ODD}
+        elif df is nothing:
+            assert [r.doc_id for r in rows] == [None]
+        elif number in (0, 2, 3):
+            assert len(rows) == 25
