@@ -312,6 +312,17 @@ class TestCounts:
         texts = ["inthe" * 400, " " * 900, "a" * 999 + " b", "\n" * 600, "▁ ▁a", "日本\x00" * 300]
         assert counts.counter(public_tokenizers.path("piece_bpe_32k.model")).texts(texts) == [len(library.encode(t)) for t in texts]
 
+    def test_parts_are_cut_where_nothing_merges(self, monkeypatch):
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        counter = counts.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))
+        monkeypatch.setattr(counter, "_count_long", lambda s: pytest.fail("through the heap"))
+        random = np.random.default_rng(3)
+        pieces = [p.replace("▁", "") for p in counter.pieces]
+        texts = ["".join(chr(c) for c in random.integers(0x4E00, 0x6000, 20_000)), "".join(pieces[i] for i in random.integers(0, len(pieces), 2000)), "日本\x00" * 300]
+        assert counter.texts(texts) == [len(library.encode(t)) for t in texts]
+
 
 class TestPii:
     def test_base_is_the_patterns(self, docs, rows, spark):
