@@ -9,7 +9,8 @@ ids. (2) Answers meet their batch's positions, read from the same shuffle; ids
 are put together by position. Decoding looks every id up in the table of token
 bytes. A word in every document reaches its bucket once for each batch.
 
-A batch is named by a hash of its texts, so a task that runs again on the same rows names it alike.
+A batch is named by a hash of its texts, so a task that runs again on the same rows names it alike;
+documents that come out of a shuffle, in no fixed order, are stored first.
 
 Defined cases: null or empty text: no tokens. Null doc_id: kept, stays null.
 Repeated rows: each is encoded. Empty table: no rows. Other columns are not read.
@@ -161,7 +162,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, outputs: bool = True
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian unsigned
     32-bit) and decoded (bytes; both null unless outputs) of every document."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = common.keyed(docs)
+    docs = common.steady(common.keyed(docs))
     buckets = int(max(4, -(-common.total_bytes(docs) // BUCKET_BYTES)))
     sent = docs.mapInArrow(_scan(buckets), "home long, docs array<long>, n_words long, name long, a binary, b binary, c binary").repartition("home")
     answers = sent.groupBy("home").applyInArrow(_encode(path), "name long, numbers binary, counts binary, ids binary")

@@ -96,6 +96,13 @@ def discard(*stored: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs, stored first if they come out of a shuffle: rows of one have no fixed order, those of a stored
+    table have, so a task that runs again after a loss meets the same rows in the same batches."""
+    dealt = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+    return materialise(docs, "steady") if dealt else docs
+
+
 def join_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined with right, an aggregate by keys, such that adaptive execution can
     split a hot key: by a key of its own, right is dealt out anew, and both sides are
