@@ -1,5 +1,6 @@
 """Index, search and ids: properties against a line scan."""
 
+import datetime
 import json
 
 import pytest
@@ -237,6 +238,20 @@ def test_engine_by_batch(spark, tmp_path):
         counts, page = engine.search(SearchRequest("b", {"text": words}, (day,)))
         assert counts.count() == page.count() == 0
     assert engine.shards(day).agg(F.sum("length")).first()[0] > 0
+    found = lambda word: engine.search(SearchRequest("b", {"text": word}, (day,)))[1].count()
+    engine.ingest(frame((9, "a wolf"), (10, None)), day, "two")  # other lines, as many documents
+    engine.build_index(day)
+    assert pv() == {"the": 3, "cat": 1, "dog": 1, "end": 1, "a": 1, "wolf": 1} and found("wolf") == 1 and found("fox") == 0
+    engine.ingest(frame((9, "---"), (10, None)), day, "two")  # no token at all
+    engine.build_index(day)
+    assert found("wolf") == 0 and pv() == {"the": 3, "cat": 1, "dog": 1, "end": 1}
+    engine.ingest(frame((9, "the fox"), (10, None)), day, "two")
+    engine.build_index(day)
+    rows = lambda *fields: spark.createDataFrame([("b", datetime.date(2024, 1, 2), f, "t", 1, 0) for f in fields], "business string, day date, field string, token string, doc_id long, row_index int")
+    engine.merge_index(rows("x", "y"), "m")
+    engine.merge_index(rows("x"), "m")  # y is gone
+    assert {r.field for r in engine.stats().where("token = 't'").collect()} == {"x"} and engine._table("postings").where("token = 't'").count() == 1
+    assert not list(tmp_path.glob("_aside/*"))
     engines = Engines(engine)
     assert engines.search(SearchRequest("b", {"text": "fox"}, (day,)))[1].count() == 1
     with pytest.raises(KeyError):

@@ -2,7 +2,8 @@
 
 What is ingested, built or merged has a batch name. A batch is a partition of each
 table, so one that runs again replaces itself and nothing else; its document ids
-are allocated once, from a stored high-water mark. One writer a business and day at a time."""
+are allocated once, from a stored high-water mark. A batch ingested again is indexed
+again by the next build. One writer a business and day at a time."""
 
 from __future__ import annotations
 
@@ -72,37 +73,67 @@ class Engine:
         begun = documents.number_documents(counts, "file_id", self.config.lines_per_doc, F.expr("file_id div 4096"), start)
         self._put(self._marked(begun, day, batch), "docs")
         begun = self._table("docs").where((F.col("day") == day) & (F.col("batch") == batch))
+        self._drop("token_stats", batch, day)  # an index of what the batch held before is built again
         lines = documents.numbered_lines(files, begun.select("file_id", "begin"), "file_id", "text", self.config.lines_per_doc)
         self._put(self._marked(lines.select("file_id", "doc_id", "row_index", "line"), day, batch), "lines")
         return start + int(total)
 
     def _count(self, fresh: DataFrame) -> None:
-        """Counts of stored postings; then tokens of more than posting_cap postings in a batch keep that many."""
-        self._put(index.token_stats(fresh, *BATCH, "field", "token"), "token_stats")
-        hot = index.token_stats(fresh, *BATCH, "field", "token").where(F.col("pv") > self.config.posting_cap)
-        fields = hot.groupBy(*BATCH, "field").count().limit(search.MOST_BROADCAST + 1)
-        if fields.count():
-            some = index.cap(fresh.join(fields.drop("count"), [*BATCH, "field"], "left_semi"), self.config.posting_cap, *BATCH, "field", "token")
-            index.write(self._set_aside(some), self._path("postings"), mode="overwrite")
-
-    def _set_aside(self, rows: DataFrame) -> DataFrame:
+        """Tokens of more than posting_cap postings in a batch keep that many. Counts, of all
+        postings, are stored last: a batch that has counts is whole."""
+        counts, counted = self._set_aside(index.token_stats(fresh, *BATCH, "field", "token"))
+        hot = counts.where(F.col("pv") > self.config.posting_cap).select(*BATCH, "field").distinct()
+        if not hot.isEmpty():
+            of_hot = fresh.join(small(hot, search.MOST_BROADCAST), [*BATCH, "field"], "left_semi")
+            some, capped = self._set_aside(index.cap(of_hot, self.config.posting_cap, *BATCH, "field", "token"))
+            index.write(some, self._path("postings"), mode="overwrite")
+            self._delete(capped)
+        self._put(counts, "token_stats")
+        self._delete(counted)
+
+    def _set_aside(self, rows: DataFrame) -> tuple[DataFrame, str]:
         path = self._path(f"_aside/{uuid.uuid4().hex}")
         rows.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def _delete(self, *paths: str) -> None:
+        """Deletes what patterns find."""
+        context = self.spark.sparkContext
+        for path in paths:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            store = at.getFileSystem(context._jsc.hadoopConfiguration())
+            for found in store.globStatus(at) or ():
+                store.delete(found.getPath(), True)
+
+    def _drop(self, name: str, batch: str, day: str = "*") -> None:
+        """Takes a batch out of a table, fields included that it has no more."""
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        self._delete(f"{self._path(name)}/business={escaped(self.config.business)}/day={day}/batch={escaped(batch)}")
+
+    def _unindex(self, batch: str, day: str = "*") -> None:
+        for name in ("token_stats", "postings"):  # counts go first, so what is left in between is no whole batch
+            self._drop(name, batch, day)
 
     def build_index(self, day: str, again: bool = False) -> None:
-        """Indexes the day's batches that have no index yet, or all of them again."""
+        """Indexes the day's batches that have no index yet, or all of them again; until
+        it is done, their lines aren't found."""
         lines = self._table("lines").where(F.col("day") == day)
         if not again:
             built = self._table("token_stats").where(F.col("day") == day).select("batch").distinct()
             lines = lines.join(small(built, search.MOST_BROADCAST), "batch", "left_anti")
+        batches = [r["batch"] for r in lines.select("batch").distinct().collect()]  # folders, which the driver lists anyway
+        if not batches:
+            return
+        for batch in batches:
+            self._unindex(batch, day)
+        lines = self._table("lines").where((F.col("day") == day) & F.col("batch").isin(batches))
         index.write(index.tokens(lines.select(*BATCH, "doc_id", "row_index", "line"), self.config), self._path("postings"), mode="overwrite")
-        batches = [r["batch"] for r in lines.select("batch").distinct().limit(search.MOST_BROADCAST).collect()]
         self._count(self._table("postings").where((F.col("day") == day) & F.col("batch").isin(batches)))
 
     def merge_index(self, postings: DataFrame, name: str | None = None) -> None:
         """Adds postings (business, day, field, token, doc_id, row_index) of elsewhere; the same name replaces what it added before."""
         batch = "merged-" + (name or uuid.uuid4().hex)
+        self._unindex(batch)
         index.write(postings.withColumn("batch", F.lit(batch)), self._path("postings"), mode="overwrite")
         self._count(self._table("postings").where(F.col("batch") == batch))
 
