@@ -199,6 +199,7 @@ def _later_ones(groups: int):
 def _meet_again(docs: DataFrame, width: int, finish, schema: str | T.StructType) -> DataFrame:
     """docs: id, copy, text and what else finish needs. Every group of documents
     meets the starts of its windows that go: finish(table, intervals by row)."""
+    docs = common.steady(docs)
     size = common.total_bytes(docs)
     buckets = int(max(4, -(-size // (_BYTES_A_WORD * BUCKET_WINDOWS))))
     groups = int(size // GROUP_BYTES) | 1
