@@ -139,6 +139,29 @@ class TestJaccard:
         got = jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
         assert got.where("component_id <> doc_id").count() == 0
 
+    def test_long_texts_with_one_passage_do_not_meet_with_their_sets(self, spark, monkeypatch):
+        met, meetings = [], jaccard._meetings
+        monkeypatch.setattr(jaccard, "_meetings", lambda rows, *carried: met.append((rows.count(), carried)) or meetings(rows, *carried))
+        r = np.random.default_rng(4)
+        passage = " ".join(f"b{i}" for i in range(60))
+        texts = [passage + " " + " ".join(f"w{x}" for x in r.integers(0, 10**6, 5000)) for _ in range(30)]
+        texts.append(texts[7].replace("b3 ", "c3 "))
+        got = by_id(jaccard.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80))
+        assert {d: x.component_id for d, x in got.items()} == {d: 7 if d == 30 else d for d in range(31)}
+        assert met[0][0] > 0
+        assert [n for n, carried in met if "elements" in carried] == [0]
+
+    def test_histograms_differ_by_no_more_than_sets(self):
+        r = np.random.default_rng(6)
+        for size in (900, 1024, 1025, 1500, 5000, 9000):
+            a = r.integers(0, 2**63, size).astype(np.uint64)
+            for part in (0.0, 0.1, 0.5):
+                b = np.unique(np.r_[a[r.random(size) >= part], r.integers(0, 2**63, int(size * part)).astype(np.uint64)])
+                x, y = (h if (h := jaccard.histogram(s)) is not None else np.bincount((jaccard.mix(s) % np.uint64(jaccard.CELLS)).astype(int), minlength=jaccard.CELLS) for s in (a, b))
+                for width in (jaccard.CELLS, min(len(x), len(y))):
+                    assert np.abs(jaccard.folded(x, width) - jaccard.folded(y, width)).sum() <= len(np.setxor1d(a, b))
+                assert len(x) * jaccard.PER_CELL >= size
+
     def test_a_very_large_set(self):
         h = np.arange(20_000_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         s, whose = jaccard.signatures(h, np.array([len(h)]), jaccard.Plan(90, len(h)))

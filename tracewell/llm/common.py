@@ -11,6 +11,8 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,12 +76,26 @@ def public_id(column: str = "id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs in here deletes its shuffle files as it ends; else they stay until the driver's memory is collected,
+    whatever their size. The session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the
-    lineage in a way that outlives any executor."""
+    lineage in a way that outlives any executor, and frees what was shuffled for it."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

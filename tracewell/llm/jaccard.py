@@ -12,12 +12,14 @@ of no more parts than that: equal ones are of equal size, so one is left that bo
 Plan: (1) one scan gives each document its size and its set's hash (its node; equal
 sets are one node). (2) A second scan makes the signatures of a few thousand
 documents at a time; packed, they meet in the bucket of their hash, which names
-signatures of two nodes or more. (3) Each node is compared in full with the
-least node under each of its signatures; links give components, so groups of
+signatures of two nodes or more. (3) Each node is compared with the
+least node under each of its signatures, by histograms of their sets and, if these
+don't rule the pair out, in full; links give components, so groups of
 copies cost a star, not all pairs. (4) Signatures whose nodes are still in several
-components stay open. Their nodes meet with histograms of their sets; pairs that these
+components stay open. Their nodes meet with small histograms; pairs that these
 don't rule out connect nodes to families, and each meeting hands on no more pairs than
-connect what it holds. (5) A family meets with its sets: all pairs of different
+connect what it holds. Small ones tell little of long texts, so the nodes of a family meet
+again, once each, with histograms in proportion to their sets, which cut it up. (5) A family meets with its sets: all pairs of different
 components are compared by counting shared elements, in dense products for elements
 that many hold, in sums for the others. It hands on only links that join components,
 fewer than it has nodes. Large meetings are cut in blocks that meet two by two.
@@ -39,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import small
+
 from . import blobs, common
 from .components import components
 from .hashing import chunks, distinct, mix, shingles, slices, tidied, tidy, word_hashes
@@ -48,8 +52,13 @@ CHUNK_BYTES = 4_000_000
 SLICE_BYTES = 1_500_000
 BUCKET_SIGNATURES = 1_000_000
 CELLS = 128
-#: Nodes of a block in step 4.
+#: Elements to a cell of a histogram in proportion, at most.
+PER_CELL = 8
+#: Nodes of a block in step 4, and their cells.
 BLOCK = 1500
+BLOCK_CELLS = 16_000_000
+#: Rows that are sent to all tasks.
+FEW = 20_000
 #: Nodes beside one copy of their centre's set in step 3.
 AROUND = 250
 #: Nodes of a block in step 5, and their elements.
@@ -93,6 +102,19 @@ def _nodes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((sums[to] - sums[to - counts]) ^ counts.astype(np.uint64)).view(np.int64)
 
 
+def histogram(h: np.ndarray) -> np.ndarray | None:
+    """Counts of a set's elements in cells, a power of two of them in proportion to the set; None if CELLS are enough."""
+    cells = CELLS
+    while cells * PER_CELL < len(h):
+        cells *= 2
+    return np.minimum(np.bincount((mix(h) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8) if cells > CELLS else None
+
+
+def folded(cells: np.ndarray, width: int) -> np.ndarray:
+    """A histogram's counts in fewer cells."""
+    return cells.reshape(-1, width).sum(0, dtype=np.int16)
+
+
 def _profile(n: int, lower: bool):
     def run(batches):
         for batch in batches:
@@ -101,9 +123,12 @@ def _profile(n: int, lower: bool):
                 h, counts = _sets(texts.slice(a, b - a), n, lower)
                 cells = np.bincount(np.repeat(np.arange(b - a) * CELLS, counts) + (mix(h) % np.uint64(CELLS)).astype(np.int64), minlength=(b - a) * CELLS)
                 cells = np.minimum(cells, 255).astype(np.uint8).reshape(b - a, CELLS)
+                to, fine = np.cumsum(counts), [None] * (b - a)
+                for i in np.flatnonzero(counts > CELLS * PER_CELL).tolist():
+                    fine[i] = histogram(h[to[i] - counts[i] : to[i]]).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), copies.slice(a, b - a), pa.array(counts), pa.array(_nodes(h, counts), mask=counts == 0), pa.array([x.tobytes() for x in cells], pa.binary())],
-                    names=["id", "copy", "n", "node", "cells"],
+                    [ids.slice(a, b - a), copies.slice(a, b - a), pa.array(counts), pa.array(_nodes(h, counts), mask=counts == 0), pa.array([x.tobytes() for x in cells], pa.binary()), pa.array(fine, pa.binary())],
+                    names=["id", "copy", "n", "node", "cells", "fine"],
                 )
 
     return run
@@ -257,6 +282,46 @@ def _compare(percent: int):
     return run
 
 
+def _unruled(percent: int):
+    """(u, v, n and cells of both) -> the pairs that histograms don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            u, v, sizes, other_sizes = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            apart = np.zeros(len(u), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                width = min(len(x), len(y))
+                apart[i] = np.abs(folded(x, width) - folded(y, width)).sum(dtype=np.int64)
+            keep = apart * (100 + percent) <= (sizes + other_sizes) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+
+    return run
+
+
+def _about(profiles: DataFrame, cells) -> DataFrame:
+    """(node, n, cells) of every node."""
+    return profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first(cells).alias("cells"))
+
+
+def _likely(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """pairs: (u, v) nodes. Those that histograms in proportion don't rule out."""
+    about = _about(profiles, F.coalesce("fine", "cells"))
+    rows = common.join_apart(pairs.withColumnRenamed("u", "node"), about, ["node"]).toDF("u", "v", "n", "cells")
+    rows = common.join_apart(rows.withColumnRenamed("v", "node"), about.toDF("node", "m", "others"), ["node"])
+    return rows.select("u", F.col("node").alias("v"), "n", "cells", "m", "others").mapInArrow(tidied(_unruled(percent)), "u long, v long")
+
+
+def _sets_of(wanted: DataFrame, base: DataFrame, profiles: DataFrame, n: int, lower: bool, repeats: bool) -> DataFrame:
+    """(node, n, elements) of the wanted nodes, from one text of each."""
+    chosen = common.join_apart(profiles.select("node", "id", "copy"), wanted, ["node"]).groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x"))
+    chosen = common.materialise(chosen.select("node", "x.id", "x.copy"), "chosen")
+    sets = base.join(small(chosen, FEW), ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, n long, elements binary")
+    sets = common.materialise(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
+    common.discard(chosen)
+    return sets
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs: (u, v) nodes. Those that are alike. u's set is sent once for every AROUND pairs of it."""
     sets = sets.select("node", "elements")
@@ -268,18 +333,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "v", "elements").mapInArrow(tidied(_compare(percent)), "u long, v long")
 
 
-def connecting(side, node, component, n, cells, percent: int) -> list[tuple[int, int]]:
+def connecting(side, node, component, n, cells: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of nodes that connect all those of different components that histograms don't rule out.
 
-    Two histograms differ by no more than their sets do."""
+    Two histograms differ by no more than their sets do, folded or not; larger sets have no fewer cells."""
     order = np.argsort(n, kind="stable")
-    side, node, component, n, cells = (x[order] for x in (side, node, component, n, cells))
-    root, out = np.arange(len(node)), []
+    side, node, component, n, cells = *(x[order] for x in (side, node, component, n)), [cells[i] for i in order.tolist()]
+    wide = np.array([len(x) for x in cells])
+    root, out, width, first = np.arange(len(node)), [], 0, 0
     for i in range(len(node) - 1):
+        if wide[i] != width:  # the counts of those as wide, and of those that they are compared with
+            width, first = int(wide[i]), i
+            to = int(np.searchsorted(n, n[np.searchsorted(wide, width, "right") - 1] * 100 // percent, "right"))
+            counts = np.stack([folded(x, width) for x in cells[i:to]])
         j = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
         k = np.flatnonzero((component[j] != component[i]) & (root[j] != root[i]) & ((side[j] != side[i]) | (side[i] == 2))) + i + 1
         if len(k):
-            apart = np.abs(cells[k].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
+            apart = np.abs(counts[k - first] - counts[i - first]).sum(1, dtype=np.int64)
             k = k[apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)]
         while len(k):
             out.append((int(node[i]), int(node[k[0]])))
@@ -352,7 +422,7 @@ def _connect(percent: int):
     """Rows of one meeting (side, node, component, n, cells) -> pairs of nodes."""
 
     def of(table: pa.Table) -> list[tuple[int, int]]:
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        cells = [np.frombuffer(x, np.uint8) for x in table.column("cells").to_pylist()]
         return connecting(*(table.column(x).to_numpy() for x in ("side", "node", "component", "n")), cells, percent)
 
     return of
@@ -414,29 +484,45 @@ def _meetings(rows: DataFrame, *carried: str) -> DataFrame:
     return rows.repartition("meeting").sortWithinPartitions("meeting")
 
 
-def _open_links(shared: DataFrame, labels: DataFrame, profiles: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _families(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: (key, blocks, node, component, n, cells). (node, component): those connected in meetings by key."""
+    met = _meetings(rows, "component", "n", "cells").mapInArrow(tidied(_by_meeting(_connect(percent))), "u long, v long")
+    pairs = common.materialise(met.distinct(), "families")
+    family = components(pairs)
+    common.discard(pairs)
+    return family
+
+
+def _open_links(shared: DataFrame, labels: DataFrame, profiles: DataFrame, sets_of, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links between nodes that share a signature and are in different components so far,
     enough to join what can be joined; and what was stored for that."""
     placed = shared.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b")
-    about = profiles.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
     rows = common.join_apart(placed, open_.select(F.col("signature"), F.expr(f"1 + members div {BLOCK}").alias("blocks")), ["signature"])
-    rows = common.join_apart(rows, about, ["node"]).withColumnRenamed("signature", "key")
-    met = _meetings(rows, "component", "n", "cells").mapInArrow(tidied(_by_meeting(_connect(percent))), "u long, v long")
-    pairs = common.materialise(met.distinct(), "families")
-    family = components(pairs)
+    rows = common.materialise(rows.withColumnRenamed("signature", "key"), "open")
+    coarse = _families(common.join_apart(rows, _about(profiles, F.col("cells")), ["node"]), percent)
+    common.discard(rows)
+
+    about = _about(profiles, F.coalesce("fine", "cells"))
+    nodes = common.join_apart(coarse.select("node", F.col("component").alias("key")), about, ["node"]).join(labels, "node", "left")
+    nodes = common.materialise(nodes.select("key", "node", F.coalesce("component", "node").alias("component"), "n", "cells"), "members")
+    size = nodes.groupBy("key").agg(F.expr(f"1 + greatest(count(1) div {BLOCK}, sum(length(cells)) div {BLOCK_CELLS})").alias("blocks"))
+    family = _families(common.join_apart(nodes, size, ["key"]), percent)
+    common.discard(coarse, nodes)
+
+    sets = sets_of(family.select("node"))
     nodes = common.join_apart(family.select("node", F.col("component").alias("key")), sets, ["node"]).join(labels, "node", "left")
     nodes = nodes.select("key", "node", F.coalesce("component", "node").alias("component"), "n", "elements")
     size = nodes.groupBy("key").agg(F.expr(f"1 + greatest(count(1) div {FAMILY}, sum(n) div {FAMILY_ELEMENTS})").alias("blocks"))
     met = _meetings(common.join_apart(nodes, size, ["key"]), "component", "elements")
-    return met.mapInArrow(tidied(_by_meeting(_join(percent))), "u long, v long"), [pairs, family]
+    return met.mapInArrow(tidied(_by_meeting(_join(percent))), "u long, v long"), [family, sets]
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(id, copy, n_shingles, component): one row per row of docs; component is a
     number that documents of one group share, null for empty sets."""
     base = common.numbered(docs)
-    profiles = common.materialise(base.mapInArrow(tidied(_profile(n, lower)), "id long, copy long, n long, node long, cells binary"), "profiles")
+    profiles = common.materialise(base.mapInArrow(tidied(_profile(n, lower)), "id long, copy long, n long, node long, cells binary, fine binary"), "profiles")
     size = profiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
     plan = Plan(percent, size["most"])
     per_element = 3.6 * (100 - percent) / (100 + percent)
@@ -445,19 +531,19 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -
     signed = common.in_two_steps(signed, buckets, tidied(_again(buckets)))
     shared = common.materialise(signed.groupBy("bucket").applyInArrow(_shared, "signature long, node long, low long"), "signatures")
 
-    stars = common.materialise(shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    wanted = shared.select("node").distinct()
-    chosen = common.join_apart(profiles, wanted, ["node"]).groupBy("node").agg(F.min(F.struct("id", "copy")).alias("x")).select("node", "x.id", "x.copy")
-    sets = base.join(chosen, ["id", "copy"]).select("node", "text").mapInArrow(tidied(_set_of(n, lower)), "node long, n long, elements binary")
-    sets = common.materialise(sets.dropDuplicates(["node"]), "sets")
+    repeats = common.has_repeats(docs)
+    pairs = shared.where("low <> node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    stars = common.materialise(_likely(pairs, profiles, percent), "pairs")
+    sets = _sets_of(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), base, profiles, n, lower, repeats)
     links = common.materialise(_verify(stars, sets, percent), "links")
+    common.discard(stars, sets)
     labels = components(links)
-    more, used = _open_links(shared, labels, profiles, sets, percent)
+    more, used = _open_links(shared, labels, profiles, lambda wanted: _sets_of(wanted, base, profiles, n, lower, repeats), percent)
     found = common.materialise(more, "links")
     if found.limit(1).count():
         before, labels = labels, components(links.unionByName(found))
         common.discard(before)
-    common.discard(shared, stars, sets, links, found, *used)
+    common.discard(shared, links, found, *used)
     return profiles.select("id", "copy", "n", "node").join(labels, "node", "left").select("id", "copy", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
