@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -281,3 +283,17 @@ def test_filter_files_of_the_configuration(spark):
     config = IndexConfig.from_json(text, filters={"stop.txt": ["the"]})
     assert config.token_filters == {"t": ("the",)}
     assert [r.token for r in index.tokens(numbered(spark, ["the cat"]), config).collect()] == ["cat"]
+
+
+def test_a_long_row_is_parsed_in_proportion_to_its_length(spark, monkeypatch):
+    n = 400_000
+    rows = spark.createDataFrame([("hot\tf\t" + ";".join(f"1,{i % 7}" for i in range(n)) + f"\t{n}",), ("cold\tf\t5,1;-3,2;4;0,9,9\t4",)], "value string")
+    began = time.monotonic()
+    got = {r.token: r for r in index.parse_text_rows(rows).select("token", F.size("postings").alias("n"), F.element_at("postings", -1).alias("last"), F.slice("postings", 1, 4).alias("first")).collect()}
+    assert time.monotonic() - began < 60
+    assert got["hot"].n == n and tuple(got["hot"].last) == (n, (n - 1) % 7)
+    assert [tuple(p) for p in got["cold"].first] == [(2, 2), (5, 1), (6, None), (6, 9)]
+    monkeypatch.setattr(index, "PIECE", 10)
+    texts = pa.record_batch({"field": ["f"] * 3, "token": ["a", "b", "c"], "pv": [1, 12, 1], "steps": ["1,1", ";".join(["1,0"] * 12), "2,2"]})
+    found = [p for b in index._parse([texts]) for p in b.column("postings").to_pylist()]
+    assert [[(x["doc_id"], x["row_index"]) for x in p] for p in found] == [[(1, 1)], [(i, 0) for i in range(1, 13)], [(2, 2)]]
