@@ -1,6 +1,7 @@
 """Tokenizer tables by hand."""
 
 import base64
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,11 @@ def test_register_and_block_list(spark):
         tokenizers.REGISTRY.pop("twice")
     extra = {"tokenfilter": tokenizers.block_list(["a", "b"])}
     assert spark.range(1).select(chain(F.lit("a c b"), (Step("split", " "), Step("tokenfilter")), extra).alias("t")).first().t == ["c"]
+
+
+def test_plain_classes_are_spelled_out():
+    named = tokenizers.spelled_out("[^0-9A-Za-z]+")
+    assert "0-9" not in named and "A-Z" not in named and "a-z" not in named
+    assert re.split(named, "a-Z_9 é.x") == re.split("[^0-9A-Za-z]+", "a-Z_9 é.x")
+    for other in (r"[\s.,]+", "[a-f]", "[^0-9-]+", "x[0-9]+", r"\s+"):
+        assert tokenizers.spelled_out(other) == other
