@@ -297,3 +297,16 @@ def test_a_long_row_is_parsed_in_proportion_to_its_length(spark, monkeypatch):
     texts = pa.record_batch({"field": ["f"] * 3, "token": ["a", "b", "c"], "pv": [1, 12, 1], "steps": ["1,1", ";".join(["1,0"] * 12), "2,2"]})
     found = [p for b in index._parse([texts]) for p in b.column("postings").to_pylist()]
     assert [[(x["doc_id"], x["row_index"]) for x in p] for p in found] == [[(1, 1)], [(i, 0) for i in range(1, 13)], [(2, 2)]]
+
+
+def test_postings_are_made_once_when_they_are_stored(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(2000).select(F.lit("f").alias("field"), F.expr("concat('w', id % 50)").alias("token"), F.col("id").alias("doc_id"), F.lit(0).alias("row_index"))
+    index.write(rows.mapInArrow(count, rows.schema), str(tmp_path / "p"))
+    assert made.value == 2000 and spark.read.parquet(str(tmp_path / "p")).count() == 2000
