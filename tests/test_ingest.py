@@ -132,3 +132,18 @@ def test_checkpoint_after_every_file(spark):
     assert new_files_table(files, "a").count() == 1
     with pytest.raises(Exception, match="later than every file"):
         new_files_table(files, "c").collect()
+
+
+def test_rezip_sends_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        files = spark.createDataFrame([("a", b"x")], "path string, content binary")
+        assert documents.rezip(files, zip=True, unzip=False).first().path == "a.gz"
+        assert spark.conf.get(key) == str(8 * 1024 * 1024)
+        spark.conf.set(key, "1000")
+        documents.rezip(files, zip=True, unzip=False)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, held)
